@@ -17,12 +17,11 @@ of the leaf but yields no changed record.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.operators.changes import null_safe_join
+from kvstrata.sources.pointer import Pointer
 from kvstrata.sources.scratch import durable
 
 FANOUT_BITS = 4
@@ -105,14 +104,11 @@ class IncrementalTable:
 
     def __init__(self, spark: SparkSession, root: str, key: list[str], range_of: Column, leaf_width: int = 1024):
         self.spark, self.root, self.key, self.range_of, self.leaf_width = spark, root.rstrip("/"), key, range_of, leaf_width
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._pointer = Pointer(spark, f"{self.root}/CURRENT")
 
     def version(self) -> int:
         """Number of the published version; 0 before the first run."""
-        pointer = f"{self.root}/CURRENT"
-        return json.loads(self.spark.read.text(pointer).first()[0])["version"] if self._fs.exists(self._path(pointer)) else 0
+        return (self._pointer.read() or {"version": 0})["version"]
 
     def _hashed(self, rows: DataFrame) -> DataFrame:
         leaf = F.coalesce(F.floor(self.range_of / self.leaf_width).cast("long"), F.lit(-1).cast("long"))
@@ -140,12 +136,5 @@ class IncrementalTable:
         out.write.mode("overwrite").parquet(f"{folder}/output")
         hashed.select(kept).write.mode("overwrite").parquet(f"{folder}/rows")
         tree.write.mode("overwrite").parquet(f"{folder}/tree")
-        draft, pointer = self._path(f"{self.root}/.CURRENT-{at + 1}"), self._path(f"{self.root}/CURRENT")
-        stream = self._fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"version": at + 1}).encode()))
-        stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        rename[0] = getattr(self.spark.sparkContext._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-        context.rename(draft, pointer, rename)
+        self._pointer.publish({"version": at + 1})
         return self.spark.read.parquet(f"{folder}/output")

@@ -511,9 +511,10 @@ def file_names(spark, d):
     return named.withColumn("log_type", keys.parse_file_type("log_name")).withColumn("parsed", keys.parse_file_number("manifest_name"))
 
 
-@query("SELECT DISTINCT user_key, hash_entry FROM probe_keys WHERE user_key IS NOT NULL")
+@query("SELECT DISTINCT user_key, hash_entry FROM probe_keys WHERE user_key IS NOT NULL AND hash_entry IS NOT NULL")
 def key_hash(spark, d):
-    asked = table(spark, d, "probe_keys").where("user_key IS NOT NULL").select("user_key").distinct()
+    """The hash of each key beside which one is recorded; the recorded ones are what it must equal."""
+    asked = table(spark, d, "probe_keys").where("user_key IS NOT NULL AND hash_entry IS NOT NULL").select("user_key").distinct()
     return asked.select("user_key", keys.key_hash_udf(keys.BLOOM_SEED)("user_key").alias("hash_entry"))
 
 

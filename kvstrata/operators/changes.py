@@ -61,7 +61,7 @@ def resolve_newest_first(feed: DataFrame, keys: list[str], order: str, is_put: C
         image = [F.max(F.struct(rank.alias("r"), *images)).alias("image")] if images else []
         newest = part.groupBy(*keys).agg(F.max(rank).alias("rank"), *image)
         if resolved is not None:
-            newest = null_safe_join(newest, resolved, keys, "left_anti")
+            newest = null_safe_join(newest, resolved.hint("merge"), keys, "left_anti")  # grows with the feed, so it is never broadcast
         found = durable(newest)
         resolved = found if resolved is None else resolved.unionByName(found)
     return resolved.select(*keys, F.shiftright("rank", 1).alias(order), (F.col("rank") % 2 == 1).alias("is_put"), *[F.col(f"image.{c}").alias(c) for c in images])
@@ -75,7 +75,7 @@ def current_state(feed: DataFrame, keys: list[str], order: str, is_put: Column,
     if base is None:
         return live
     base = base.select(*keys, order, *images)
-    return live.unionByName(null_safe_join(base, resolved, keys, "left_anti"))
+    return live.unionByName(null_safe_join(base, resolved.hint("merge"), keys, "left_anti"))
 
 
 def live_keys(kv_log: DataFrame, batches: int = BATCHES) -> DataFrame:

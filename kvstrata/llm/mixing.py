@@ -155,7 +155,7 @@ def _cut(slots, sizes: DataFrame, quotas: dict) -> dict[tuple, int]:
         plan = slots([(m, 0, s, lo, hi - lo) for (m, s), (lo, hi) in span.items()])
         run = F.floor((F.col("slot") - F.col("lo")) / F.col("width")).cast("long")
         sums: dict[tuple, dict] = {k: {} for k in span}
-        for r in plan.join(sizes, ["source", "block"]).join(F.broadcast(grid), ["mix_name", "source"]).groupBy("mix_name", "source", run.alias("run")).agg(F.sum("size").alias("t")).collect():
+        for r in plan.join(sizes.hint("merge"), ["source", "block"]).join(F.broadcast(grid), ["mix_name", "source"]).groupBy("mix_name", "source", run.alias("run")).agg(F.sum("size").alias("t")).collect():
             sums[r.mix_name, r.source][r.run] = r.t
         for k in list(span):
             (lo, hi), want, w = span.pop(k), quotas[k[0]][k[1]][1], width[k]
@@ -197,7 +197,7 @@ def draw(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
     plan = []
     for m, name in enumerate(sorted(quotas)):
         plan += [(name, *x) for x in _split_slots({s: cuts[name, s] for s in quotas[name]}, seed + m)]
-    return slots(plan).join(blocks, ["source", "block"]).select("mix_name", "shard", "slot", "source", "copy_no", "block", "doc_id", "tokens")
+    return slots(plan).join(blocks.hint("merge"), ["source", "block"]).select("mix_name", "shard", "slot", "source", "copy_no", "block", "doc_id", "tokens")
 
 
 def shares(drawn: DataFrame, targets: DataFrame, sized: DataFrame) -> DataFrame:

@@ -77,10 +77,13 @@ def covered_positions(ingest_runs: DataFrame) -> DataFrame:
 def uncovered(rows: DataFrame, record: list[str], log: str, seq: str, leaf_of: Column, covered: DataFrame) -> DataFrame:
     """(record, cf): records none of whose rows lies at or below the covered position of its database and family.
 
-    The saved tree holds the rows covered so far, the current one all rows."""
-    seen = covered.withColumnsRenamed({"db_id": "_db", "cf": "_cf"})
+    The saved tree holds the rows covered so far, the current one all rows.  Rows
+    with a null position, database or family are covered by nothing.  ``leaf_of``
+    is an expression over the record, position, database and family columns."""
+    rows = rows.select(*dict.fromkeys([*record, "db_id", "cf", log, seq]))
+    seen = covered.select(F.col("db_id").alias("_db"), F.col("cf").alias("_cf"), F.col("log").alias("_log"), F.col("seq").alias("_seq"))
     marked = rows.join(seen, (rows.db_id == seen._db) & (rows.cf == seen._cf), "left")
-    below = (F.col(log) < F.col("log")) | ((F.col(log) == F.col("log")) & (F.col(seq) <= F.col("seq")))
+    below = (F.col(log) < F.col("_log")) | ((F.col(log) == F.col("_log")) & (F.col(seq) <= F.col("_seq")))
     marked = marked.withColumn("_covered", F.coalesce(below, F.lit(False))).withColumn("_part", F.xxhash64("db_id", "cf")).withColumn("_leaf", F.coalesce(leaf_of, F.lit(-1).cast("long")))
     h = F.xxhash64(*record, log, seq)
     leaves = durable(
@@ -93,7 +96,7 @@ def uncovered(rows: DataFrame, record: list[str], log: str, seq: str, leaf_of: C
     )
     open_leaves = changed_leaves(current, saved).select(F.col("part").alias("_part"), F.col("leaf").alias("_leaf"))
     fresh = marked.join(open_leaves, ["_part", "_leaf"], "left_semi")
-    return fresh.groupBy(*record).agg(F.max("_covered").alias("_any"), F.max("cf").alias("_cf")).where("NOT _any").select(*record, F.col("_cf").alias("_record_cf"))
+    return fresh.groupBy(*record).agg(F.max("_covered").alias("_any"), F.max("cf").alias("_record_cf")).where("NOT _any").select(*record, "_record_cf")
 
 
 class IncrementalTable:

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def probe_filters(filters: DataFrame, prints: DataFrame, q_bits: int, r_bits: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, waiting, merged = None, [], np.empty(0, np.int64)
         for b in batches:
-            shards, kinds, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 6))
+            shards, kinds, asks = (pc.fill_null(b.column(i), 0).to_numpy(zero_copy_only=False) for i in (0, 1, 6))
             cuts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1), len(shards)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:

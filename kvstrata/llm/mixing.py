@@ -19,8 +19,8 @@ Skew: a hot source is packed in shards by a hash of the record id, and the block
 index spreads the final join evenly.  The driver only sees per-source totals of
 the named sources and the shard plan, which is bounded by ``MAX_SHARDS``.
 
-Defined results: records without tokens (null or empty text) and without a
-source are never drawn; targets that are null or not above 0, or whose source
+Defined results: records without tokens (null or empty text), without an id or
+without a source are never drawn; targets that are null or not above 0, or whose source
 has no tokens, get no slots; a null max_repeats counts as 1.
 """
 
@@ -48,7 +48,7 @@ MOST_TARGETS = 10_000
 
 def blocks_of(sized: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(source, block, doc_id, tokens): records (doc_id, source, tokens) in blocks numbered 0..n-1 in each source."""
-    use = sized.where("source IS NOT NULL AND tokens > 0").select("source", "doc_id", "tokens")
+    use = sized.where("source IS NOT NULL AND doc_id IS NOT NULL AND tokens > 0").select("source", "doc_id", "tokens")
     loads = use.groupBy("source").agg(F.ceil(F.count("*") / shard_items).alias("shards"))
     spread = use.join(loads, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.col("shards")))
 
@@ -59,7 +59,7 @@ def blocks_of(sized: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_items: i
         out = pack_shard(rows, block_tokens, None, cut=False)
         return pd.DataFrame({"source": pdf["source"].iloc[0], "shard": int(pdf["shard"].iloc[0]), "local": [x[3] for x in out], "doc_id": [rows[x[0]][0] for x in out], "tokens": [x[2] for x in out]})
 
-    packed = durable(spread.where("doc_id IS NOT NULL").groupBy("source", "shard").applyInPandas(run, "source string, shard long, local long, doc_id long, tokens long"))
+    packed = durable(spread.groupBy("source", "shard").applyInPandas(run, "source string, shard long, local long, doc_id long, tokens long"))
     w = Window.partitionBy("source").orderBy("shard")
     offsets = packed.groupBy("source", "shard").agg((F.max("local") + 1).alias("n")).withColumn("offset", F.sum("n").over(w) - F.col("n")).drop("n")
     return packed.join(offsets, ["source", "shard"]).select("source", (F.col("offset") + F.col("local")).alias("block"), "doc_id", "tokens")

@@ -142,7 +142,7 @@ def read_specs(specs: DataFrame, most: int = 1000) -> dict[str, int]:
 
 def fill_report(assigned: DataFrame, specs: dict[str, int]) -> DataFrame:
     """Per spec: containers, tokens, the least possible number of containers, and the fill."""
-    capacity = F.create_map(*[F.lit(x) for kv in specs.items() for x in kv])
+    capacity = F.create_map(F.lit(""), F.lit(1), *[F.lit(x) for kv in specs.items() for x in kv])
     used = assigned.groupBy("spec_name", "container_id").agg(F.sum("tokens").alias("held"))
     total = used.groupBy("spec_name").agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"), F.max("held").alias("fullest"))
     total = total.withColumn("capacity_tokens", capacity[F.col("spec_name")].cast("long"))

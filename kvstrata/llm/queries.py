@@ -47,5 +47,15 @@ def p8_shared_share(spark, d):
 
 QUERIES = {f.__name__: f for f in (p6_assignment, p6_fill, p7_drawn, p7_shares, p8_found, p8_shared_share)}
 
-#: None: token counts, packing, draws and matching statistics have no SQL form; tests/llm checks them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_WINDOWS = """t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, i, substring(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM t) x),
+u AS (SELECT DISTINCT doc_id, s FROM w), m AS (SELECT s FROM u GROUP BY s HAVING count(*) > 1)"""
+
+#: Token counts, packing and draws have no SQL form; tests/llm checks them against brute force and their constraints.
+ORACLE_SQL: dict[str, str] = {
+    "p8_found": f"""WITH {_WINDOWS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM u a JOIN m ON m.s = a.s JOIN u b ON b.s = a.s AND b.doc_id > a.doc_id""",
+    "p8_shared_share": f"""WITH {_WINDOWS}, p AS (SELECT w.doc_id, w.i, lead(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS j FROM w JOIN m ON m.s = w.s),
+c AS (SELECT doc_id, sum(least(coalesce(j - i, 200), 200)) AS n FROM p GROUP BY 1),
+d AS (SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars FROM documents)
+SELECT d.doc_id, d.n_chars, CAST(coalesce(c.n, 0) AS BIGINT) AS shared_chars, CASE WHEN d.n_chars > 0 THEN coalesce(c.n, 0) / d.n_chars ELSE 0.0 END AS shared_share FROM d LEFT JOIN c ON c.doc_id = d.doc_id""",
+}

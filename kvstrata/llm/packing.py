@@ -85,10 +85,14 @@ def pack_shard(items: list[tuple], capacity: int, max_sources: int | None, cut:
     seen.pop(None, None)
     # Copies go first, while every container is open: at the end, no residual would be left that is free of their cluster.
     pieces.sort(key=lambda x: (seen.get(items[x[1]][3], 0) < 2, -x[0], items[x[1]][3] or 0, items[x[1]][0] is None, items[x[1]][0] or 0, x[1]))
-    needed = max(1, sum(x[0] for x in pieces) // capacity)
     source_bit: dict = {}
-    for _, i, _ in pieces:
+    volume: dict = {}
+    for size, i, _ in pieces:
         source_bit.setdefault(items[i][2], 1 << len(source_bit))
+        volume[items[i][2]] = volume.get(items[i][2], 0) + size
+    needed = max(1, sum(volume.values()) // capacity)
+    # Containers over which copies of a source may spread: if few sources share one, the others must keep room.
+    hosts = {s: max(1, min(needed, v * (max_sources or len(volume)) // capacity)) for s, v in volume.items()}
     cluster_bit: dict = {}
     dealt: dict = {}
     for size, i, piece in pieces:
@@ -96,7 +100,7 @@ def pack_shard(items: list[tuple], capacity: int, max_sources: int | None, cut:
         bit = 0
         if size and seen.get(cluster, 0) > 1:  # singletons and items of no size cannot conflict
             n = dealt[cluster] = dealt.get(cluster, -1) + 1
-            bit = cluster_bit.setdefault((cluster, n // needed), 1 << len(cluster_bit))
+            bit = cluster_bit.setdefault((cluster, n // hosts[source]), 1 << len(cluster_bit))
         if size > capacity:
             out.append((i, piece, size, bins.fresh()))
         else:

@@ -17,6 +17,9 @@ of the leaf but yields no changed record.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +47,9 @@ def _level(leaves: DataFrame, level: int) -> DataFrame:
 
 
 def changed_leaves(current: DataFrame, saved: DataFrame) -> DataFrame:
-    """(part, leaf) of the leaves (part, leaf, digest) that differ between two trees, found by descent from the root."""
-    current, saved = durable(current), durable(saved)
+    """(part, leaf) of the leaves (part, leaf, digest) that differ between two trees, found by descent from the root.
+
+    Both trees are read once per level, so they should be stored tables."""
     top = max(x.agg(F.max("leaf")).first()[0] or 0 for x in (current, saved))
     levels = max(1, -(-int(top).bit_length() // FANOUT_BITS))
     open_nodes: DataFrame | None = None
@@ -57,7 +61,8 @@ def changed_leaves(current: DataFrame, saved: DataFrame) -> DataFrame:
             now, then = (x.join(keep, (x.part == keep.part) & (F.shiftright(x.node, step) == keep.up), "left_semi") for x in (now, then))
         then = then.select(F.col("part").alias("p2"), F.col("node").alias("n2"), F.col("digest").alias("d2"))
         both = now.join(then, (now.part == then.p2) & (now.node == then.n2), "full_outer")
-        open_nodes = durable(both.where(~F.col("digest").eqNullSafe(F.col("d2"))).select(F.coalesce("part", "p2").alias("part"), F.coalesce("node", "n2").alias("node")))
+        open_nodes = both.where(~F.col("digest").eqNullSafe(F.col("d2"))).select(F.coalesce("part", "p2").alias("part"), F.coalesce("node", "n2").alias("node"))
+        open_nodes = durable(open_nodes) if level else open_nodes
         before = level
     return open_nodes.withColumnRenamed("node", "leaf")
 
@@ -74,29 +79,45 @@ def covered_positions(ingest_runs: DataFrame) -> DataFrame:
     return done.groupBy("db_id", "cf").agg(F.max(F.struct(F.col("r.log_number").alias("log"), F.col("r.last_sequence").alias("seq"))).alias("p")).select("db_id", "cf", "p.log", "p.seq")
 
 
-def uncovered(rows: DataFrame, record: list[str], log: str, seq: str, leaf_of: Column, covered: DataFrame) -> DataFrame:
-    """(record, cf): records none of whose rows lies at or below the covered position of its database and family.
+@dataclass(frozen=True)
+class Source:
+    """Rows with db_id and cf whose records (key columns) have positions (log, seq); ``leaf`` is a long expression over these columns that orders the records into leaves."""
+
+    name: str
+    rows: DataFrame
+    record: list[str]
+    log: str
+    seq: str
+    leaf: Column
+
+
+def uncovered(sources: list[Source], covered: DataFrame) -> list[DataFrame]:
+    """Per source (record, record_cf): the records none of whose rows lies at or below the covered position of its database and family.
 
-    The saved tree holds the rows covered so far, the current one all rows.  Rows
-    with a null position, database or family are covered by nothing.  ``leaf_of``
-    is an expression over the record, position, database and family columns."""
-    rows = rows.select(*dict.fromkeys([*record, "db_id", "cf", log, seq]))
+    One tree over all sources: the saved one holds the rows covered so far, the
+    current one all rows.  Rows with a null position, database or family are
+    covered by nothing."""
     seen = covered.select(F.col("db_id").alias("_db"), F.col("cf").alias("_cf"), F.col("log").alias("_log"), F.col("seq").alias("_seq"))
-    marked = rows.join(seen, (rows.db_id == seen._db) & (rows.cf == seen._cf), "left")
-    below = (F.col(log) < F.col("_log")) | ((F.col(log) == F.col("_log")) & (F.col(seq) <= F.col("_seq")))
-    marked = marked.withColumn("_covered", F.coalesce(below, F.lit(False))).withColumn("_part", F.xxhash64("db_id", "cf")).withColumn("_leaf", F.coalesce(leaf_of, F.lit(-1).cast("long")))
-    h = F.xxhash64(*record, log, seq)
-    leaves = durable(
-        marked.groupBy("_part", "_leaf").agg(
-            *[f.alias(n + s) for s, c in (("", F.lit(True)), ("2", F.col("_covered"))) for n, f in (("n", F.count(F.when(c, h))), ("x", F.bit_xor(F.when(c, h))), ("s", F.sum(F.when(c, h.bitwiseAND(F.lit(0xFFFFFFFF))))))]
-        )
-    )
-    current, saved = (
-        leaves.where(F.col("n" + s) > 0).select(F.col("_part").alias("part"), F.col("_leaf").alias("leaf"), F.xxhash64("n" + s, "x" + s, "s" + s).alias("digest")) for s in ("", "2")
-    )
-    open_leaves = changed_leaves(current, saved).select(F.col("part").alias("_part"), F.col("leaf").alias("_leaf"))
-    fresh = marked.join(open_leaves, ["_part", "_leaf"], "left_semi")
-    return fresh.groupBy(*record).agg(F.max("_covered").alias("_any"), F.max("cf").alias("_record_cf")).where("NOT _any").select(*record, "_record_cf")
+    marked, leaves = [], []
+    for s in sources:
+        rows = s.rows.select(*dict.fromkeys([*s.record, "db_id", "cf", s.log, s.seq]))
+        rows = rows.join(seen, (rows.db_id == seen._db) & (rows.cf == seen._cf), "left")
+        below = (F.col(s.log) < F.col("_log")) | ((F.col(s.log) == F.col("_log")) & (F.col(s.seq) <= F.col("_seq")))
+        rows = rows.withColumn("_covered", F.coalesce(below, F.lit(False))).withColumn("_part", F.xxhash64(F.lit(s.name), "db_id", "cf")).withColumn("_leaf", F.coalesce(s.leaf, F.lit(-1).cast("long")))
+        h = F.xxhash64(*s.record, s.log, s.seq)
+        digests = []
+        for mark, counted in (("", h), ("2", F.when(F.col("_covered"), h))):
+            digests += [F.count(counted).alias(f"n{mark}"), F.bit_xor(counted).alias(f"x{mark}"), F.sum(counted.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"s{mark}")]
+        marked.append(rows)
+        leaves.append(rows.groupBy("_part", "_leaf").agg(*digests))
+    stored = durable(reduce(lambda x, y: x.unionByName(y), leaves))
+    current, saved = (stored.where(F.col(f"n{m}") > 0).select(F.col("_part").alias("part"), F.col("_leaf").alias("leaf"), F.xxhash64(f"n{m}", f"x{m}", f"s{m}").alias("digest")) for m in ("", "2"))
+    open_leaves = durable(changed_leaves(current, saved)).select(F.col("part").alias("_part"), F.col("leaf").alias("_leaf"))
+    out = []
+    for s, rows in zip(sources, marked):
+        fresh = rows.join(open_leaves, ["_part", "_leaf"], "left_semi")
+        out.append(fresh.groupBy(*s.record).agg(F.max("_covered").alias("_any"), F.max("cf").alias("record_cf")).where("NOT _any").select(*s.record, "record_cf"))
+    return out
 
 
 class IncrementalTable:
@@ -125,7 +146,7 @@ class IncrementalTable:
         kept = ["_leaf", "_hash", *self.key]
         if at:
             base = f"{self.root}/versions/{at}"
-            open_leaves = changed_leaves(tree, self.spark.read.parquet(f"{base}/tree")).select(F.col("leaf").alias("_leaf"))
+            open_leaves = durable(changed_leaves(tree, self.spark.read.parquet(f"{base}/tree"))).select(F.col("leaf").alias("_leaf"))
             old = self.spark.read.parquet(f"{base}/rows").join(open_leaves, "_leaf", "left_semi")
             now = hashed.join(open_leaves, "_leaf", "left_semi")
         else:

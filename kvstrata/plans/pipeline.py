@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kvstrata.operators.changes import live_files, live_keys
-from kvstrata.operators.incremental import covered_positions, uncovered
+from kvstrata.operators.incremental import Source, covered_positions, uncovered
 from kvstrata.operators.orphans import life_spans, manifest_references, orphan_counts, orphans
 from kvstrata.operators.seen import seen_before, wrong_answers
 from kvstrata.operators.smallfiles import compress_frames, concatenate, flushed_bodies, plan_merges, small_files
@@ -68,13 +68,16 @@ def p3_wrong_answers(spark, d):
 
 def p4_found(spark, d):
     """Operations and file revisions that no succeeded run has covered."""
-    covered = durable(covered_positions(table(spark, d, "ingest_runs")))
-    log = table(spark, d, "kv_log").select("db_id", "cf", "seqno", "log_number")
-    ops = uncovered(log, ["db_id", "cf", "seqno"], "log_number", "seqno", F.floor(F.col("seqno") / 1024), covered)
-    files = table(spark, d, "files").select("db_id", "cf", "packed_number_and_path_id", "meta_rev", "log_number", "largest_seqno").withColumn("file_number", file_number("packed_number_and_path_id"))
-    revisions = uncovered(files, ["db_id", "file_number", "meta_rev"], "log_number", "largest_seqno", F.floor(F.col("file_number") / 256), covered)
+    files = table(spark, d, "files").withColumn("file_number", file_number("packed_number_and_path_id"))
+    ops, revisions = uncovered(
+        [
+            Source("kv_log", table(spark, d, "kv_log"), ["db_id", "cf", "seqno"], "log_number", "seqno", F.floor(F.col("seqno") / 1024)),
+            Source("files", files, ["db_id", "file_number", "meta_rev"], "log_number", "largest_seqno", F.floor(F.col("file_number") / 256)),
+        ],
+        durable(covered_positions(table(spark, d, "ingest_runs"))),
+    )
     return ops.select(F.lit("kv_log").alias("rec_table"), "db_id", "cf", F.col("seqno").alias("rec_no")).unionByName(
-        revisions.select(F.lit("files").alias("rec_table"), "db_id", F.col("_record_cf").alias("cf"), F.col("file_number").alias("rec_no")).distinct()
+        revisions.select(F.lit("files").alias("rec_table"), "db_id", F.col("record_cf").alias("cf"), F.col("file_number").alias("rec_no")).distinct()
     )
 
 

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from helpers import LOG, RUNS, op, rows
-from kvstrata.operators.incremental import IncrementalTable, changed_leaves, covered_positions, uncovered
+from kvstrata.operators.incremental import IncrementalTable, Source, changed_leaves, covered_positions, uncovered
 
 TREE = "part long, leaf long, digest long"
 
@@ -46,9 +46,10 @@ def test_uncovered_operations(spark):
     done = {(d, c, s) for d, c, _, s, _, _, lg, _ in log if lg is not None and (d, c) in pos and (lg, s) <= pos[d, c]}
     extra = {c: F.lit(1) for c in ("log", "seq", "_covered", "leaf", "digest", "part")}
     df = spark.createDataFrame(log + log[::9], LOG).withColumns(extra)
-    got = uncovered(df, ["db_id", "cf", "seqno"], "log_number", "seqno", F.floor(F.col("seqno") / 64), covered_positions(runs))
+    source = lambda x: Source("log", x, ["db_id", "cf", "seqno"], "log_number", "seqno", F.floor(F.col("seqno") / 64))
+    got = uncovered([source(df)], covered_positions(runs))[0]
     assert rows(got, "db_id", "cf", "seqno") == sorted({(x[0], x[1], x[3]) for x in log} - done, key=repr)
-    none = uncovered(df.limit(0), ["db_id", "cf", "seqno"], "log_number", "seqno", F.floor(F.col("seqno") / 64), covered_positions(runs.limit(0)))
+    none = uncovered([source(df.limit(0))], covered_positions(runs.limit(0)))[0]
     assert none.count() == 0
 
 

@@ -3,7 +3,8 @@
 Method: skew-aware split.  References are first counted per key and period,
 which folds a hot key to a few rows before anything is shuffled.  Keys with more
 than ``heavy`` references are looked up in a broadcast map of their life spans,
-if the measured size of that map is within ``HEAVY_SPANS``; all other keys go
+if both their number and that of their spans are measured to be within
+``HEAVY_SPANS``; all other keys go
 through a shuffled anti join.  The orphans of both branches are united.
 
 A record lives in spans [start, end) of positions.  Positions are doubled, so
@@ -48,7 +49,7 @@ def orphans(refs: DataFrame, spans: DataFrame, heavy: int = HEAVY, heavy_spans:
     refs = refs.where("scope IS NOT NULL AND key IS NOT NULL AND point IS NOT NULL")
     loads = reference_loads(refs) if loads is None else loads
     keys = durable(loads.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") > heavy).drop("n"))
-    hot_spans = durable(spans.join(F.broadcast(keys), KEY, "left_semi")) if not keys.isEmpty() else None
+    hot_spans = durable(spans.join(F.broadcast(keys), KEY, "left_semi")) if 0 < keys.count() <= heavy_spans else None
     inside = (F.col("point") >= F.col("start")) & (F.col("point") < F.col("end"))
     if hot_spans is None or hot_spans.count() > heavy_spans:
         return refs.join(spans, [refs[k] == spans[k] for k in KEY] + [inside], "left_anti")

@@ -37,16 +37,16 @@ def number_operations(ops: DataFrame, last: int = 0) -> DataFrame:
 
 def commit_watermark(published: DataFrame, assigned: DataFrame) -> DataFrame:
     """One row (last_batch, last_seq): the end of the longest prefix of batches without a gap; nulls if the first is missing."""
-    missing = assigned.join(published.select("batch_id").distinct(), "batch_id", "left_anti").agg(F.min("batch_id").alias("gap"))
-    seen = assigned.crossJoin(F.broadcast(missing)).where(F.col("gap").isNull() | (F.col("batch_id") < F.col("gap")))  # one row of one number
+    gap = assigned.join(published.select("batch_id").distinct(), "batch_id", "left_anti").agg(F.min("batch_id")).first()[0]
+    seen = assigned if gap is None else assigned.where(F.col("batch_id") < gap)
     return seen.agg(F.max("batch_id").alias("last_batch"), F.max("last_seq").alias("last_seq"))
 
 
 def ingest_global_sequence(kv: DataFrame, outside: DataFrame) -> DataFrame:
     """All versions after an outside file (one row per key: cf, key, op, value) came in at one sequence number above all others."""
-    top = kv.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("seq"))
+    top = (kv.agg(F.max("seq")).first()[0] or 0) + 1
     cols = ["cf", "key", "seq", "op", "value"]
-    return kv.select(cols).unionByName(outside.select("cf", "key", "op", "value").crossJoin(F.broadcast(top)).select(cols))  # one row of one number
+    return kv.select(cols).unionByName(outside.withColumn("seq", F.lit(top).cast("long")).select(cols))
 
 
 def one_per_key(kv: DataFrame) -> DataFrame:

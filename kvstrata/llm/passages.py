@@ -13,7 +13,8 @@ Skew.  Exact copies are folded into one representative before anything else and
 expanded at the end.  An anchor that stands in many texts (a formula shorter
 than ``min_len``, say) is split by the text of its full windows: every window
 of ``min_len`` code points around it becomes an anchor of its own, so that only
-texts that do share a whole window meet.  A reference text with many partners is
+texts that do share a whole window meet; for spans these meet in a star around
+one text per window, not in pairs.  A reference text with many partners is
 dealt over several tasks.
 
 Defined results: null and empty texts, texts under ``min_len`` code points and
@@ -233,21 +234,48 @@ def copy_classes(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     return hashed.join(classes, ["digest", "n"]).select("doc", "rep").distinct()
 
 
-def _candidates(docs: DataFrame, k: int, min_len: int, hot_anchor: int) -> DataFrame:
-    """(a, b, pos_a, pos_b): anchors shared by two texts, a < b."""
-    anchors = durable(extract_anchors(docs, k, min_len))
+def _shared(anchors: DataFrame) -> DataFrame:
+    """(h, n): anchors that stand in two texts or more, with the number of their places."""
+    return anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "n")
+
+
+def _pairs_by(anchors: DataFrame) -> DataFrame:
+    """(ref, doc, pos_ref, pos_doc), ref < doc: places of one anchor in two texts."""
+    other = anchors.select("h", F.col("doc").alias("d2"), F.col("pos").alias("p2"))
+    return anchors.join(other, "h").where("doc < d2").select(F.col("doc").alias("ref"), F.col("d2").alias("doc"), F.col("pos").alias("pos_ref"), F.col("p2").alias("pos_doc"))
+
+
+def _window_candidates(wide: DataFrame, both: bool) -> DataFrame:
+    """Candidates from anchors that are whole windows, so that all texts with one share a passage.
 
-    def shared(x: DataFrame) -> DataFrame:
-        return x.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "n")
+    For pairs, one place per text is enough, and of windows that stand in the same
+    texts one is.  For spans no pairs are needed: all texts of a window are
+    streamed over its first text, and that one over the second."""
+    first = wide.groupBy("h", "doc").agg(F.min("pos").alias("pos"))
+    if not both:
+        sets = first.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+        return _pairs_by(first.join(sets.groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h"), "h"))
+    low = first.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("low"))
+    rest = first.join(low, "h").where("doc > low.doc")
+    second = rest.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("second"))
+    star = wide.join(low, "h").where("doc > low.doc").select(F.col("low.doc").alias("ref"), "doc", F.col("low.pos").alias("pos_ref"), F.col("pos").alias("pos_doc"))
+    centre = wide.join(low, "h").where("doc = low.doc").join(second, "h").select(F.col("second.doc").alias("ref"), "doc", F.col("second.pos").alias("pos_ref"), F.col("pos").alias("pos_doc"))
+    return star.unionByName(centre)
 
-    met = durable(anchors.join(shared(anchors), "h"))
-    cold = met.where(F.col("n") <= hot_anchor).select("h", "doc", "pos")
+
+def _candidates(docs: DataFrame, k: int, min_len: int, hot_anchor: int, both: bool) -> DataFrame:
+    """(ref, doc, pos_ref, pos_doc): what to stream over what, and where they share an anchor; each pair one way or ``both``."""
+    anchors = durable(extract_anchors(docs, k, min_len))
+    met = durable(anchors.join(_shared(anchors), "h"))
+    found = _pairs_by(met.where(F.col("n") <= hot_anchor).select("h", "doc", "pos"))
+    if both:
+        found = found.unionByName(found.select(F.col("doc").alias("ref"), F.col("ref").alias("doc"), F.col("pos_doc").alias("pos_ref"), F.col("pos_ref").alias("pos_doc")))
     hot = met.where(F.col("n") > hot_anchor).select("doc", "pos")
     if not hot.isEmpty():
-        wide = durable(_windows_around(docs, hot, k, min_len))
-        cold = cold.unionByName(wide.join(shared(wide), "h").select("h", "doc", "pos"))
-    other = cold.select("h", F.col("doc").alias("b"), F.col("pos").alias("pos_b"))
-    return cold.join(other, "h").where("doc < b").select(F.col("doc").alias("a"), "b", F.col("pos").alias("pos_a"), "pos_b")
+        windows = durable(_windows_around(docs, hot, k, min_len))
+        wide = durable(windows.join(_shared(windows), "h").select("h", "doc", "pos"))
+        found = found.unionByName(_window_candidates(wide, both))
+    return found
 
 
 _MERGED = "array<struct<at:int,n:int>>"
@@ -306,13 +334,9 @@ def _match(rows: DataFrame, min_len: int, first: bool) -> DataFrame:
     return parted.mapInArrow(run, "ref long, doc long, start long, end long")
 
 
-def _verified(docs: DataFrame, candidates: DataFrame, k: int, min_len: int, both: bool) -> DataFrame:
-    """(ref, doc, start, end): spans of doc that stand in ref, for the candidates; one per pair unless ``both``, then all, both ways."""
-    pairs = candidates.groupBy("a", "b").agg(F.collect_set("pos_a").alias("pa"), F.collect_set("pos_b").alias("pb"))
-    pairs = pairs.select(F.col("a").alias("ref"), F.col("b").alias("doc"), F.col("pa").alias("pr"), F.col("pb").alias("pd"))
-    if both:
-        pairs = pairs.unionByName(pairs.select(F.col("doc").alias("ref"), F.col("ref").alias("doc"), F.col("pd").alias("pr"), F.col("pr").alias("pd")))
-    pairs = durable(pairs)
+def _verified(docs: DataFrame, candidates: DataFrame, k: int, min_len: int, every: bool) -> DataFrame:
+    """(ref, doc, start, end): spans of doc that stand in ref, for the candidates; all of them or one of each pair."""
+    pairs = durable(candidates.groupBy("ref", "doc").agg(F.collect_set("pos_ref").alias("pr"), F.collect_set("pos_doc").alias("pd")))
     merged = _merge_segments(min_len - k, min_len)
     loads = pairs.groupBy("ref").agg(F.ceil(F.count("*") / STREAMS_PER_TASK).cast("int").alias("salts"))
     salted = pairs.join(loads, "ref").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
@@ -323,7 +347,7 @@ def _verified(docs: DataFrame, candidates: DataFrame, k: int, min_len: int, both
     wanted = parts.select("doc").distinct()
     few = docs.join(bounded_broadcast(wanted, wanted.count(), BROADCAST_IDS), "doc", "left_semi")
     rows = parts.join(few, "doc").select("ref", "salt", "role", "doc", "at", F.expr("substring(text, at + 1, n)").alias("seg"))
-    return _match(rows, min_len, not both)
+    return _match(rows, min_len, not every)
 
 
 def _prepared(documents: DataFrame, id_col: str, text_col: str, min_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -336,7 +360,7 @@ def _prepared(documents: DataFrame, id_col: str, text_col: str, min_len: int) ->
 def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, k: int = ANCHOR, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of texts that share a passage of ``min_len`` or more code points."""
     _, copies, single = _prepared(documents, id_col, text_col, min_len)
-    found = _verified(single, _candidates(single, k, min_len, hot_anchor), k, min_len, both=False).select(F.col("ref").alias("a"), F.col("doc").alias("b"))
+    found = _verified(single, _candidates(single, k, min_len, hot_anchor, both=False), k, min_len, every=False).select(F.col("ref").alias("a"), F.col("doc").alias("b"))
     members = copies.select(F.col("rep").alias("r"), F.col("doc").alias("m"))
     for side in ("a", "b"):
         found = found.join(members.withColumnRenamed("r", side), side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
@@ -347,7 +371,7 @@ def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, k: int = ANCHOR, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """(doc, start, end): the merged spans of each text that also stand in another text, in passages of ``min_len`` or more."""
     docs, copies, single = _prepared(documents, id_col, text_col, min_len)
-    spans = _verified(single, _candidates(single, k, min_len, hot_anchor), k, min_len, both=True).select("doc", "start", "end")
+    spans = _verified(single, _candidates(single, k, min_len, hot_anchor, both=True), k, min_len, every=True).select("doc", "start", "end")
     members = copies.select(F.col("rep").alias("doc"), F.col("doc").alias("m"))
     spans = spans.join(members, "doc", "left").select(F.coalesce("m", "doc").alias("doc"), "start", "end")
     whole = docs.join(copies.select("doc"), "doc", "left_semi").select("doc", F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end"))

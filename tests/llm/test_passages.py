@@ -87,11 +87,12 @@ def test_pairs_match_brute_force(spark, hot, monkeypatch):
     assert rows(shared_pairs(df, min_len=40, k=20, hot_anchor=hot)) == brute_pairs(docs, 40)
 
 
-def test_shares_and_removal(spark):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_shares_and_removal(spark, hot):
     docs = made(5)
     df = spark.createDataFrame([(i, t) for i, t in docs if i is not None], DOCS).distinct()
     cover = brute_cover(docs, 40)
-    spans = shared_spans(df, min_len=40, k=20).cache()
+    spans = shared_spans(df, min_len=40, k=20, hot_anchor=hot).cache()
     held = {r.doc: r.n for r in spans.groupBy("doc").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()}
     assert held == {i: n for i, n in cover.items() if n and i is not None}
     cut = {r.doc_id: r.text for r in remove_spans(df, spans).collect()}
@@ -124,6 +125,12 @@ def test_a_formula_in_all_texts_makes_no_pairs(spark):
     assert rows(shared_pairs(spark.createDataFrame(docs, DOCS), hot_anchor=50)) == [(7, 8)]
 
 
+def test_monotonous_texts_stay_linear(spark):
+    docs = spark.createDataFrame([(i, c * 20_000 + str(i)) for i in range(4) for c in "a"] + [(9, "ab" * 5000), (10, "ab" * 4000 + "a" * 300)], DOCS)
+    assert rows(shared_pairs(docs)) == sorted([(a, b) for a in range(4) for b in range(a + 1, 4)] + [(a, 10) for a in range(4)] + [(9, 10)], key=repr)
+    assert rows(shared_share(docs), "doc_id", "shared_chars") == sorted([(i, 20_000) for i in range(4)] + [(9, 10_000), (10, 8300)], key=repr)
+
+
 def test_merge_spans(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 3, 4), (1, 9, 10), (2, 1, 2), (1, 0, 5)], "doc long, start long, end long")
     assert rows(merge_spans(df), "doc", "start", "end") == [(1, 0, 7), (1, 9, 10), (2, 1, 2)]

@@ -303,7 +303,7 @@ def _picker_sets(spark):
 
 def _picked(spark):
     for options, files in _picker_sets(spark):
-        yield files, picker.pick_level(picker.level_scores(files, "fixture", options), "fixture")
+        yield files, durable(picker.pick_level(picker.level_scores(files, "fixture", options), "fixture"))
 
 
 @query()
@@ -331,7 +331,7 @@ def pick_files(spark, d):
 ('A6.2', 4, 6), ('A6.2', 5, 6), ('A6.2', 6, 6), ('A6.2', 7, 6), ('A6.2', 8, 6), ('A6.2', 9, 6), ('A6.2', 10, 6), ('A6.2', 11, 6),
 ('A6.3', 8, 5), ('A6.3', 9, 5), ('A6.3', 10, 5), ('A6.3', 11, 5), ('A7.1', 1, 4), ('A7.1', 2, 4), ('A7.1', 5, 4), ('A7.1', 6, 4), ('A7.2', 5, 6)) v(fixture, file_id, output_level)""")
 def expand_inputs(spark, d):
-    return read.union_sources([picker.expand_inputs(f, picker.pick_files(f, p, "fixture"), "fixture").select("fixture", "file_id", "output_level") for f, p in _picked(spark)])
+    return read.union_sources([picker.expand_inputs(f, durable(picker.pick_files(f, p, "fixture")), "fixture").select("fixture", "file_id", "output_level") for f, p in _picked(spark)])
 
 
 # Metadata

@@ -43,6 +43,11 @@ def p2_outputs(spark, d):
     return _merge_plan(spark, d).groupBy(*group).agg(F.count("*").alias("n_inputs"), F.sum("file_size").alias("n_bytes"), F.sum("num_entries").alias("n_entries"))
 
 
+def p2_totals(spark, d):
+    """What the planned outputs of a database, family and level hold together: every input's bytes and entries once."""
+    return _merge_plan(spark, d).groupBy("db_id", "cf", "file_level").agg(F.count("*").alias("n_inputs"), F.sum("file_size").alias("n_bytes"), F.sum("num_entries").alias("n_entries"))
+
+
 def p2_concatenated(spark, d):
     """Flushed small files as zstandard frames, joined byte by byte into the planned outputs."""
     plan = durable(_merge_plan(spark, d))
@@ -88,7 +93,7 @@ def p5_found(spark, d):
     return keys.unionByName(files)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_outputs, p2_concatenated, p3_found, p3_wrong_answers, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_outputs, p2_totals, p2_concatenated, p3_found, p3_wrong_answers, p4_found, p5_found)}
 
 _FILE = "(packed_number_and_path_id & 4611686018427387903)"
 
@@ -113,8 +118,8 @@ ev AS (SELECT DISTINCT db_id, {_FILE} AS file, edit_no, kind, cf, file_level FRO
 live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_id, file ORDER BY edit_no DESC) AS rn FROM ev) x WHERE rn = 1 AND kind = 'ADD_FILE')"""
 
 _SMALL = f"""
-sizes AS (SELECT db_id, {_FILE} AS file, arg_max(file_size, meta_rev) AS file_size FROM files WHERE file_size >= 0 GROUP BY 1, 2),
-small AS (SELECT l.db_id, l.cf, l.file_level, l.file FROM live l JOIN sizes s ON s.db_id = l.db_id AND s.file = l.file JOIN level_targets t ON t.file_level = l.file_level
+sizes AS (SELECT db_id, {_FILE} AS file, arg_max(file_size, meta_rev) AS file_size, arg_max(num_entries, meta_rev) AS num_entries FROM files WHERE file_size >= 0 GROUP BY 1, 2),
+small AS (SELECT l.db_id, l.cf, l.file_level, l.file, s.file_size, s.num_entries FROM live l JOIN sizes s ON s.db_id = l.db_id AND s.file = l.file JOIN level_targets t ON t.file_level = l.file_level
           WHERE 4 * s.file_size < t.target_file_bytes)"""
 
 _COVERED = r"""
@@ -136,6 +141,8 @@ SELECT n.ref_table, n.ref_field, n.period, CAST(n.n_refs AS BIGINT) AS n_refs, C
 FROM n LEFT JOIN m ON m.ref_table = n.ref_table AND m.ref_field = n.ref_field AND m.period IS NOT DISTINCT FROM n.period""",
     "p2_found": f"""WITH {_LIVE_FILES}, {_SMALL}
 SELECT DISTINCT db_id, file AS file_number FROM (SELECT *, count(*) OVER (PARTITION BY db_id, cf, file_level) AS n FROM small) x WHERE n > 1""",
+    "p2_totals": f"""WITH {_LIVE_FILES}, {_SMALL}
+SELECT db_id, cf, file_level, CAST(count(*) AS BIGINT) AS n_inputs, CAST(sum(file_size) AS BIGINT) AS n_bytes, CAST(sum(num_entries) AS BIGINT) AS n_entries FROM small GROUP BY 1, 2, 3 HAVING count(*) > 1""",
     "p3_found": """WITH p AS (SELECT DISTINCT probe_no, db_id, cf, user_key FROM probe_keys WHERE user_key IS NOT NULL),
 f AS (SELECT *, min(probe_no) OVER (PARTITION BY db_id, cf, user_key) AS first_no FROM p),
 k AS (SELECT DISTINCT db_id, cf, user_key FROM kv_log WHERE user_key IS NOT NULL)

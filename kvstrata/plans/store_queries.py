@@ -293,6 +293,13 @@ PICKER_SETS = {
 }
 
 
+#: Base level, factor and targets of levels 1 to 6 of these sets, worked out by hand from the sizing rule.
+_SIZED = """sized(fixture, base_level, factor, targets) AS (VALUES ('A6.1', 6, 1.0, [NULL, NULL, NULL, NULL, NULL, NULL]), ('A6.2', 6, 1.0, [NULL, NULL, NULL, NULL, NULL, 400]),
+('A6.3', 5, 10.0, [NULL, NULL, NULL, NULL, 400, 600]), ('A7.1', 4, sqrt(600.0 / 21), [NULL, NULL, NULL, 200, 200, 599]), ('A7.2', 4, sqrt(3303.0 / 33), [NULL, NULL, NULL, 200, 330, 3301])),
+levels AS (SELECT fixture, CAST(l AS INTEGER) AS level, base_level, CAST(round(factor, 6) AS DOUBLE) AS factor, CAST(CASE WHEN l > 0 THEN targets[l] END AS BIGINT) AS target, CAST(targets[base_level] AS BIGINT) AS low FROM sized, range(0, 7) r(l))"""
+_SETS = "sets(fixture, base, trigger, level, size) AS (VALUES " + ", ".join(f"('{n}', {b}, {t}, {level}, {size})" for n, (b, t, rows) in PICKER_SETS.items() for _, size, level, _, _ in rows) + ")"
+
+
 def _picker_sets(spark):
     """(options, files) per option pair."""
     by: dict = {}
@@ -306,12 +313,15 @@ def _picked(spark):
         yield files, durable(picker.pick_level(picker.level_scores(files, "fixture", options), "fixture"))
 
 
-@query()
+@query(f"WITH {_SIZED} SELECT fixture, level, base_level, target, factor FROM levels")
 def level_targets(spark, d):
     return read.union_sources([picker.level_scores(f, "fixture", o).select("fixture", "level", "base_level", "target", F.round("factor", 6).alias("factor")) for o, f in _picker_sets(spark)])
 
 
-@query()
+@query(f"""WITH {_SIZED}, {_SETS}, o AS (SELECT DISTINCT fixture, base, trigger FROM sets), t AS (SELECT fixture, level, count(*) AS n, sum(size) AS b FROM sets GROUP BY 1, 2)
+SELECT l.fixture, l.level, CAST(round(CASE WHEN l.level > 0 THEN coalesce(coalesce(t.b, 0) / l.target, 0)
+  ELSE greatest(coalesce(t.n, 0) / o.trigger, coalesce(coalesce(t.b, 0) / greatest(o.base, floor(l.low / l.factor + 0.5)), 0)) END, 6) AS DOUBLE) AS score
+FROM levels l JOIN o ON o.fixture = l.fixture LEFT JOIN t ON t.fixture = l.fixture AND t.level = l.level WHERE l.level < 6""")
 def compaction_score(spark, d):
     return read.union_sources([picker.level_scores(f, "fixture", o).where("score IS NOT NULL").select("fixture", "level", F.round("score", 6).alias("score")) for o, f in _picker_sets(spark)])
 
@@ -457,23 +467,40 @@ def value_type_class(spark, d):
     return rows.select("tp", keys.is_value_type("tp").alias("is_value"), keys.is_extended_value_type("tp").alias("is_extended"), "n")
 
 
+def _byte(h: str, at: str) -> str:
+    """Value of one byte (from 0) of a hexadecimal string, in SQL."""
+    digit = "(strpos('0123456789ABCDEF', substr({h}, {p}, 1)) - 1)"
+    return f"({digit.format(h=h, p=f'2 * ({at}) + 1')} * 16 + {digit.format(h=h, p=f'2 * ({at}) + 2')})"
+
+
+def _grown(h: str, at: str) -> str:
+    """The first bytes of a hexadecimal string up to one that is grown by one, in SQL; text in UTF-8 has no byte 255."""
+    return f"substr({h}, 1, 2 * ({at})) || lpad(upper(to_hex({_byte(h, at)} + 1)), 2, '0')"
+
+
+_K = "k AS (SELECT *, hex(encode(key)) AS h FROM (SELECT DISTINCT db_id, cf, user_key AS key FROM kv_log WHERE user_key IS NOT NULL) x)"
+_PAIRS = f"""{_K}, n AS (SELECT *, lead(key) OVER w AS following, lead(h) OVER w AS g FROM k WINDOW w AS (PARTITION BY db_id, cf ORDER BY key)),
+c AS (SELECT *, length(h) // 2 AS a, length(g) // 2 AS b, len(list_filter(range(2, least(length(h), length(g)) + 1, 2), lambda i: substr(h, 1, i) = substr(g, 1, i))) AS same FROM n WHERE following IS NOT NULL)"""
+
+
 def _neighbours(spark, d):
     from pyspark.sql import Window
 
     return log_keys(spark, d).withColumn("following", F.lead("key").over(Window.partitionBy("db_id", "cf").orderBy("key")))
 
 
-@query()
+@query(f"""WITH {_PAIRS} SELECT db_id, cf, key, following, CASE WHEN same = least(a, b) THEN h WHEN same + 1 < b OR {_byte('h', 'same')} + 1 < {_byte('g', 'same')} THEN {_grown('h', 'same')}
+WHEN same + 1 < a THEN {_grown('h', 'same + 1')} ELSE h END AS separator_hex FROM c""")
 def shortest_separator(spark, d):
     return _neighbours(spark, d).where("following IS NOT NULL").select("db_id", "cf", "key", "following", keys.shortest_separator_hex("key", "following").alias("separator_hex"))
 
 
-@query()
+@query(f"WITH {_K} SELECT db_id, cf, key, CASE WHEN h = '' THEN h ELSE {_grown('h', '0')} END AS successor_hex FROM k")
 def short_successor(spark, d):
     return log_keys(spark, d).select("db_id", "cf", "key", keys.short_successor_hex("key").alias("successor_hex"))
 
 
-@query()
+@query(f"WITH {_K} SELECT db_id, cf, key, CASE WHEN h = '' THEN '00' ELSE {_grown('h', 'length(h) // 2 - 1')} END AS next_hex FROM k")
 def next_key(spark, d):
     return log_keys(spark, d).select("db_id", "cf", "key", keys.next_key_hex("key").alias("next_hex"))
 

@@ -69,9 +69,19 @@ class QuotientFilter:
         rest = bits.astype(np.int64) @ (np.int64(1) << np.arange(self.r_bits, dtype=np.int64))
         return (np.repeat(occupied, np.diff(ends, prepend=-1)) << self.r_bits) | rest
 
+    @classmethod
+    def fitted(cls, prints: np.ndarray, bits: int) -> QuotientFilter:
+        """From sorted distinct fingerprints of so many bits, with as many quotients as suit their number.
+
+        Bits move between quotient and remainder and the fingerprints stay the same,
+        so filters of any sizes merge, and a small one does not pay for a large one's
+        occupancy bits."""
+        q_bits = min(bits - 1, max(3, int(np.ceil(np.log2(max(1, len(prints)) / LOAD)))))
+        return cls.build(prints, q_bits, bits - q_bits)
+
     def merged(self, other: QuotientFilter) -> QuotientFilter:
         """One filter that holds the keys of both."""
-        return QuotientFilter.build(np.union1d(self.prints(), other.prints()), self.q_bits, self.r_bits)
+        return QuotientFilter.fitted(np.union1d(self.prints(), other.prints()), self.q_bits + self.r_bits)
 
 
 def filter_shape(keys: int, r_bits: int = REMAINDER_BITS) -> tuple[int, int, int]:
@@ -85,7 +95,7 @@ def fingerprint(columns: list[str], bits: int):
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - bits)
 
 
-_FILTER = "shard long, kind int, n long, occupied binary, run_ends binary, remainders binary, print long"
+_FILTER = "shard long, kind int, n long, q_bits int, occupied binary, run_ends binary, remainders binary, print long"
 
 
 def build_filters(prints: DataFrame, q_bits: int, r_bits: int, s_bits: int) -> DataFrame:
@@ -97,11 +107,11 @@ def build_filters(prints: DataFrame, q_bits: int, r_bits: int, s_bits: int) -> D
             keys = np.unique(np.concatenate(parts))
             shards = keys >> (local + r_bits)
             cuts = np.flatnonzero(np.diff(shards, prepend=-1))
-            made = [(int(shards[c]), QuotientFilter.build(x & ((1 << local + r_bits) - 1), local, r_bits)) for c, x in zip(cuts, np.split(keys, cuts[1:]))]
+            made = [(int(shards[c]), QuotientFilter.fitted(x & ((1 << local + r_bits) - 1), local + r_bits)) for c, x in zip(cuts, np.split(keys, cuts[1:]))]
             none = pa.nulls(len(made), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in made], pa.int64()), pa.array(np.zeros(len(made), np.int32)), pa.array([f.n for _, f in made], pa.int64()), *[pa.array([getattr(f, c) for _, f in made], pa.binary()) for c in ("occupied", "run_ends", "remainders")], none],
-                names=["shard", "kind", "n", "occupied", "run_ends", "remainders", "print"],
+                [pa.array([s for s, _ in made], pa.int64()), pa.array(np.zeros(len(made), np.int32)), pa.array([f.n for _, f in made], pa.int64()), pa.array([f.q_bits for _, f in made], pa.int32()), *[pa.array([getattr(f, c) for _, f in made], pa.binary()) for c in ("occupied", "run_ends", "remainders")], none],
+                names=["shard", "kind", "n", "q_bits", "occupied", "run_ends", "remainders", "print"],
             )
 
         held, size = [], 0
@@ -123,12 +133,12 @@ def build_filters(prints: DataFrame, q_bits: int, r_bits: int, s_bits: int) -> D
 def probe_filters(filters: DataFrame, prints: DataFrame, q_bits: int, r_bits: int, s_bits: int) -> DataFrame:
     """(print, in_filter) for distinct fingerprints: the filters of each shard are merged and the fingerprints streamed over them."""
     local = q_bits - s_bits
-    asked = prints.select(F.shiftright("print", local + r_bits).alias("shard"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in (("n", "long"), ("occupied", "binary"), ("run_ends", "binary"), ("remainders", "binary"))], "print")
+    asked = prints.select(F.shiftright("print", local + r_bits).alias("shard"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in (("n", "long"), ("q_bits", "int"), ("occupied", "binary"), ("run_ends", "binary"), ("remainders", "binary"))], "print")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, waiting, merged = None, [], np.empty(0, np.int64)
         for b in batches:
-            shards, kinds, asks = (pc.fill_null(b.column(i), 0).to_numpy(zero_copy_only=False) for i in (0, 1, 6))
+            shards, kinds, asks = (pc.fill_null(b.column(i), 0).to_numpy(zero_copy_only=False) for i in (0, 1, 7))
             cuts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1), len(shards)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
@@ -136,13 +146,13 @@ def probe_filters(filters: DataFrame, prints: DataFrame, q_bits: int, r_bits: in
                 if shards[lo] != shard:
                     shard, waiting, merged = shards[lo], [], np.empty(0, np.int64)
                 if kinds[lo] == 0:
-                    for n, *blobs in zip(*(b.column(i).slice(lo, hi - lo).to_pylist() for i in (2, 3, 4, 5))):
-                        waiting.append(QuotientFilter(n, local, r_bits, *blobs).prints())
+                    for n, q, *blobs in zip(*(b.column(i).slice(lo, hi - lo).to_pylist() for i in (2, 3, 4, 5, 6))):
+                        waiting.append(QuotientFilter(n, q, local + r_bits - q, *blobs).prints())
                         if sum(map(len, waiting)) > 4 * SHARD_KEYS:
                             waiting = [np.unique(np.concatenate(waiting))]
                     continue
                 if waiting:
-                    whole = QuotientFilter.build(np.unique(np.concatenate(waiting)), local, r_bits)  # the merged filter
+                    whole = QuotientFilter.fitted(np.unique(np.concatenate(waiting)), local + r_bits)  # the merged filter
                     waiting, merged = [], whole.prints()
                 ask = asks[lo:hi].astype(np.int64)
                 key = ask & ((1 << local + r_bits) - 1)

@@ -17,6 +17,9 @@ def test_filters_keep_and_merge_fingerprints():
         x, y = (QuotientFilter.build(z, q, bits) for z in (a, b))
         assert (x.prints() == a).all() and len(x.remainders) == -(-len(a) * bits // 8)
         assert (x.merged(y).prints() == np.union1d(a, b)).all()
+        small = QuotientFilter.fitted(a, q + bits)
+        assert (small.prints() == a).all() and (small.merged(y).prints() == np.union1d(a, b)).all()
+        assert sum(map(len, (small.occupied, small.run_ends, small.remainders))) * 8 <= len(a) * (q + bits + 4) + 40
 
 
 def brute(history, incoming):

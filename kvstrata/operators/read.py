@@ -97,16 +97,27 @@ def seek(kv: DataFrame, cf: int, target: str, reverse: bool = False, snapshot: i
     return page(kv, cf, 1, F.col("key") <= target if reverse else F.col("key") >= target, reverse, snapshot)
 
 
-def as_of(kv: DataFrame, probes: DataFrame) -> DataFrame:
+def as_of(kv: DataFrame, probes: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(cf, key, snapshot, seq, value): per probe (cf, key, snapshot) the entry that the snapshot sees.
 
-    Versions and probes are put in one order per key and the newest version at or
-    before each probe is carried forward, so the cost is one sort, not a row per
-    version and probe."""
-    null = F.lit(None)
-    asked = probes.where("key IS NOT NULL AND snapshot IS NOT NULL").select("cf", "key", "snapshot").distinct()
-    points = asked.select("cf", "key", F.col("snapshot").alias("at"), F.lit(1).alias("probe"), null.cast("long").alias("seq"), null.cast("string").alias("op"), null.cast("string").alias("value"))
-    entries = at_snapshot(kv, None).select("cf", "key", F.col("seq").alias("at"), F.lit(0).alias("probe"), "seq", "op", "value")
-    w = Window.partitionBy("cf", "key").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("probe") == 0, F.struct("seq", "op", "value")), ignorenulls=True).over(w)
-    return entries.unionByName(points).withColumn("v", last).where("probe = 1 AND v.op = 'PUT'").select("cf", "key", F.col("at").alias("snapshot"), "v.seq", "v.value")
+    Versions and probes are put in one order per key, and the newest (seq, op) at
+    or before each probe is carried forward as one number: first within blocks of
+    ``width`` sequence numbers, then from block to block, so a hot key is many
+    tasks and no version meets a probe in a pair.  Values are fetched at the end."""
+    keys = ["cf", "key"]
+    block = lambda c: F.floor(F.col(c) / width).cast("long").alias("block")
+    asked = probes.where("key IS NOT NULL AND snapshot IS NOT NULL").select(*keys, F.col("snapshot").cast("long").alias("snapshot")).distinct()
+    rows = at_snapshot(kv, None)
+    rank = F.shiftleft("seq", 1) + (F.col("op") == "PUT").cast("long")
+    points = rows.select(*keys, block("seq"), F.col("seq").alias("at"), rank.alias("rank"), F.lit(None).cast("long").alias("snapshot"))
+    points = points.unionByName(asked.select(*keys, block("snapshot"), F.col("snapshot").alias("at"), F.lit(None).cast("long").alias("rank"), "snapshot"))
+    inside = F.max("rank").over(Window.partitionBy(*keys, "block").orderBy("at", F.col("snapshot").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    here = points.withColumn("newest", inside).where("snapshot IS NOT NULL").select(*keys, "block", "snapshot", "newest")
+    earlier = F.max("top").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    before = points.groupBy(*keys, "block").agg(F.max("rank").alias("top")).withColumn("earlier", earlier).drop("top")
+    same = F.col("cf").eqNullSafe(F.col("_cf")) & (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block"))
+    seen = here.join(before.withColumnsRenamed({"cf": "_cf", "key": "_key", "block": "_block"}), same).withColumn("newest", F.coalesce("newest", "earlier"))
+    seen = seen.where("newest % 2 = 1").select(*keys, "snapshot", F.shiftright("newest", 1).alias("seq"))
+    values = rows.where("op = 'PUT'").select(F.col("cf").alias("_cf"), F.col("key").alias("_key"), F.col("seq").alias("_seq"), "value").dropDuplicates(["_cf", "_key", "_seq"])
+    same = F.col("cf").eqNullSafe(F.col("_cf")) & (F.col("key") == F.col("_key")) & (F.col("seq") == F.col("_seq"))
+    return seen.join(values, same).select(*keys, "snapshot", "seq", "value")

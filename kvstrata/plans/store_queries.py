@@ -8,6 +8,7 @@ from kvstrata.functions import bloom, keys
 from kvstrata.operators import blocks, manifest, picker, read, write
 from kvstrata.operators import compact as compaction
 from kvstrata.operators.changes import live_files
+from kvstrata.operators.ordering import key_ranks
 from kvstrata.sources.kv import BATCH, FILE_SCHEMA, LEVEL1_BASE, USERS_PER_FILE, events_with_files, kv_events, kv_from_events, kv_orders, log_keys
 from kvstrata.sources.scratch import durable
 from kvstrata.sources.tables import file_number, table
@@ -17,6 +18,7 @@ CF, KEY, SNAPSHOT, SNAPSHOTS = 1, "0000000007", 700, [300, 700]
 START, END, TARGET, PREFIX, PAGE = "0000000003", "0000000010", "0000000005x", "00000000", 5
 #: Characters of a key that its bucket is made of when keys are ranked: at most 10^4 padded numbers share one.
 RANK_PREFIX = 6
+KEYS_PER_FILE = 256
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -478,15 +480,22 @@ def _grown(h: str, at: str) -> str:
     return f"substr({h}, 1, 2 * ({at})) || lpad(upper(to_hex({_byte(h, at)} + 1)), 2, '0')"
 
 
-_K = "k AS (SELECT *, hex(encode(key)) AS h FROM (SELECT DISTINCT db_id, cf, user_key AS key FROM kv_log WHERE user_key IS NOT NULL) x)"
-_PAIRS = f"""{_K}, n AS (SELECT *, lead(key) OVER w AS following, lead(h) OVER w AS g FROM k WINDOW w AS (PARTITION BY db_id, cf ORDER BY key)),
+_K = f"""k AS (SELECT *, hex(encode(key)) AS h, CAST((row_number() OVER (PARTITION BY db_id, cf ORDER BY key) - 1) // {KEYS_PER_FILE} AS BIGINT) AS file_no
+FROM (SELECT DISTINCT db_id, cf, user_key AS key FROM kv_log WHERE user_key IS NOT NULL) x)"""
+_PAIRS = f"""{_K}, n AS (SELECT *, lead(key) OVER w AS following, lead(h) OVER w AS g FROM k WINDOW w AS (PARTITION BY db_id, cf, file_no ORDER BY key)),
 c AS (SELECT *, length(h) // 2 AS a, length(g) // 2 AS b, len(list_filter(range(2, least(length(h), length(g)) + 1, 2), lambda i: substr(h, 1, i) = substr(g, 1, i))) AS same FROM n WHERE following IS NOT NULL)"""
 
 
+def _key_files(spark, d):
+    """The distinct keys of each family in sorted files of a bounded number of keys."""
+    ranked = key_ranks(log_keys(spark, d), ["db_id", "cf"], "key", RANK_PREFIX)
+    return ranked.withColumn("file_no", F.floor(F.col("key_rank") / KEYS_PER_FILE).cast("long")).drop("key_rank")
+
+
 def _neighbours(spark, d):
     from pyspark.sql import Window
 
-    return log_keys(spark, d).withColumn("following", F.lead("key").over(Window.partitionBy("db_id", "cf").orderBy("key")))
+    return _key_files(spark, d).withColumn("following", F.lead("key").over(Window.partitionBy("db_id", "cf", "file_no").orderBy("key")))
 
 
 @query(f"""WITH {_PAIRS} SELECT db_id, cf, key, following, CASE WHEN same = least(a, b) THEN h WHEN same + 1 < b OR {_byte('h', 'same')} + 1 < {_byte('g', 'same')} THEN {_grown('h', 'same')}
@@ -569,19 +578,19 @@ def filter_keys(spark, d):
     return k.select("db_id", "cf", F.col("key").alias("filter_key"), F.lit("key").alias("kind")).unionByName(prefixes)
 
 
-_HEXKEYS = """k AS (SELECT DISTINCT db_id, cf, user_key AS key FROM kv_log WHERE user_key IS NOT NULL),
-o AS (SELECT *, row_number() OVER w - 1 AS ordinal, hex(encode(lag(key) OVER w)) AS a, hex(encode(key)) AS b FROM k WINDOW w AS (PARTITION BY db_id, cf ORDER BY key)),
+_HEXKEYS = f"""{_K}, o AS (SELECT *, row_number() OVER w - 1 AS ordinal, lag(h) OVER w AS a, h AS b FROM k WINDOW w AS (PARTITION BY db_id, cf, file_no ORDER BY key)),
 s AS (SELECT *, CASE WHEN ordinal % 16 = 0 THEN 0 ELSE len(list_filter(range(2, least(length(a), length(b)) + 1, 2), lambda i: substr(a, 1, i) = substr(b, 1, i))) END AS shared FROM o)"""
+_FILE_KEY = ["db_id", "cf", "file_no"]
 
 
-@query(f"WITH {_HEXKEYS} SELECT db_id, cf, CAST(count(*) AS BIGINT) AS n_keys, CAST(sum(shared) AS BIGINT) AS shared_bytes, CAST(sum(length(b) // 2 - shared) AS BIGINT) AS stored_bytes FROM s GROUP BY 1, 2")
+@query(f"WITH {_HEXKEYS} SELECT db_id, cf, file_no, CAST(count(*) AS BIGINT) AS n_keys, CAST(sum(shared) AS BIGINT) AS shared_bytes, CAST(sum(length(b) // 2 - shared) AS BIGINT) AS stored_bytes FROM s GROUP BY 1, 2, 3")
 def delta_encoding_stats(spark, d):
-    return blocks.delta_stats(log_keys(spark, d), ["db_id", "cf"])
+    return blocks.delta_stats(_key_files(spark, d), _FILE_KEY)
 
 
-@query(f"WITH {_HEXKEYS} SELECT db_id, cf, key, CAST(ordinal AS BIGINT) AS ordinal FROM s WHERE ordinal % 16 = 0")
+@query(f"WITH {_HEXKEYS} SELECT db_id, cf, file_no, key, CAST(ordinal AS BIGINT) AS ordinal FROM s WHERE ordinal % 16 = 0")
 def restart_points(spark, d):
-    return blocks.restart_flags(log_keys(spark, d), ["db_id", "cf"]).where("is_restart").select("db_id", "cf", "key", "ordinal")
+    return blocks.restart_flags(_key_files(spark, d), _FILE_KEY).where("is_restart").select(*_FILE_KEY, "key", "ordinal")
 
 
 @query()

@@ -49,7 +49,11 @@ def test_asof_equals_snapshot_reads(spark):
     kv = spark.createDataFrame(data, KV_SCHEMA)
     probes = spark.createDataFrame([(cf, f"k{k:03}", s) for cf in (0, 1) for k in range(0, 40, 3) for s in (5, 80, 500)] + [(0, None, 5), (0, "k000", None)], "cf int, key string, snapshot long")
     want = sorted(((cf, k, s, q, v) for s in (5, 80, 500) for cf, k, q, v in model(data, s) if int(k[1:]) % 3 == 0), key=repr)
-    assert rows(read.as_of(kv, probes)) == want
+    for width in (1 << 16, 7):
+        assert rows(read.as_of(kv, probes, width)) == want
+    odd = spark.createDataFrame([(None, "a", 1, "PUT", "x"), (0, "a", 2, "PUT", None), (0, "a", 2, "PUT", None), (0, "a", None, "PUT", "n")], KV_SCHEMA)
+    asked = spark.createDataFrame([(None, "a", 9), (0, "a", 2), (0, "a", 1), (0, "a", 2)], "cf int, key string, snapshot long")
+    assert rows(read.as_of(odd, asked)) == sorted([(None, "a", 9, 1, "x"), (0, "a", 2, 2, None)], key=repr)
 
 
 def test_nulls_repeats_and_empty(spark):

@@ -9,13 +9,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def blocked_sums(df: DataFrame, group: list[str], block: Column, order: list[str], values: list[str]) -> DataFrame:
+    """``df`` with ``run_<v>`` for each value column: its sum over the group's rows up to this one (and its equals in order).
+
+    ``block`` must not fall as the order rises.  Rows are summed within their block
+    and blocks among themselves, so a hot group is many tasks.  Rows with a null in
+    the group or block are left out."""
+    blocked = df.withColumn("_block", block)
+    inside = Window.partitionBy(*group, "_block").orderBy(*order)
+    across = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_block")
+    sums = blocked.groupBy(*group, "_block").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
+    before = sums.select(*group, "_block", *[(F.sum(f"_sum_{v}").over(across) - F.col(f"_sum_{v}")).alias(f"_before_{v}") for v in values])
+    for v in values:
+        blocked = blocked.withColumn(f"_inside_{v}", F.sum(v).over(inside))
+    out = blocked.join(before, [*group, "_block"])
+    return out.select(*df.columns, *[(F.col(f"_inside_{v}") + F.col(f"_before_{v}")).cast("long").alias(f"run_{v}") for v in values])
+
+
 def running_total(df: DataFrame, order: str, value: Column, out: str, width: int = 1 << 16) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows up to this one in order of the unique long column ``order`` (itself included)."""
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / width)).withColumn("_value", value)
-    sums = bucketed.groupBy("_bucket").agg(F.sum("_value").alias("_sum"))
-    before = sums.select("_bucket", (F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")) - F.col("_sum")).alias("_before"))
-    inside = F.sum("_value").over(Window.partitionBy("_bucket").orderBy(order))
-    return bucketed.withColumn("_inside", inside).join(before, "_bucket").withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_bucket", "_value", "_before", "_inside")
+    summed = blocked_sums(df.withColumn("_value", value), [], F.floor(F.col(order) / width), [order], ["_value"])
+    return summed.withColumnRenamed("run__value", out).drop("_value")
 
 
 def key_ranks(df: DataFrame, group: list[str], key: str, prefix: int, out: str = "key_rank") -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvstrata.operators.ordering import blocked_sums
+
 
 @dataclass(frozen=True)
 class LevelOptions:
@@ -104,12 +106,13 @@ def pick_level(scores: DataFrame, group: str) -> DataFrame:
     return best.select(group, "level", F.when(F.col("level") == 0, F.col("base_level")).otherwise(F.col("level") + 1).cast("int").alias("output_level"), "score")
 
 
-def overlap_totals(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+def overlap_totals(left: DataFrame, right: DataFrame, group: list[str], prefix: int = 8) -> DataFrame:
     """``left`` (group, id, smallest, largest, ...) with n_overlap, overlap_bytes and overlap_busy over the files of ``right`` whose key ranges meet its own.
 
     A range meets all ranges that begin at or before its end, less those that end
     before its begin; both are running totals in key order, so no pair of files
-    is ever made.  Files without bounds meet none."""
+    is ever made.  The order is cut into blocks by the first ``prefix`` characters of
+    the bounds.  Files without bounds, or with a null in the group, meet none."""
     null = F.lit(None)
     busy = F.coalesce("being_compacted", F.lit(False)).cast("long")
     bounded = right.where("smallest IS NOT NULL AND largest IS NOT NULL")
@@ -123,11 +126,8 @@ def overlap_totals(left: DataFrame, right: DataFrame, group: list[str]) -> DataF
         return left.select(*group, F.col(key).alias("k"), F.lit(kind).alias("kind"), zero.alias("n"), zero.alias("b"), zero.alias("busy"), "file_id").where("k IS NOT NULL")
 
     def totals(marked: DataFrame, asked: DataFrame, suffix: str) -> DataFrame:
-        w = Window.partitionBy(*group).orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        run = marked.unionByName(asked)
-        for c in ("n", "b", "busy"):
-            run = run.withColumn(f"{c}_{suffix}", F.sum(c).over(w))
-        return run.where("file_id IS NOT NULL").select(*group, "file_id", *[f"{c}_{suffix}" for c in ("n", "b", "busy")])
+        run = blocked_sums(marked.unionByName(asked), group, F.substring("k", 1, prefix), ["k", "kind"], ["n", "b", "busy"])
+        return run.where("file_id IS NOT NULL").select(*group, "file_id", *[F.col(f"run_{c}").alias(f"{c}_{suffix}") for c in ("n", "b", "busy")])
 
     begun = totals(marks("smallest", 0), asks("largest", 1), "begun")
     ended = totals(marks("largest", 1), asks("smallest", 0), "ended")

@@ -36,8 +36,8 @@ from kvstrata.sources.scratch import bounded_broadcast, durable
 #: Length of the anchors; passages of MIN_LEN have MIN_LEN - ANCHOR + 1 of them to choose from.
 ANCHOR = 100
 MIN_LEN = 200
-#: Anchors in more texts than this are split by their full windows.
-HOT_ANCHOR = 256
+#: Anchors at more places than this are split by their full windows: n places make n^2 / 2 streams of some 300 characters, or 150 n hashed windows.
+HOT_ANCHOR = 16
 #: Streams of one reference text that one task takes.
 STREAMS_PER_TASK = 512
 #: Ids (16 bytes with overhead some 50) that may be broadcast.

@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from kvstrata.operators.changes import null_safe_join
 from kvstrata.sources.pointer import Pointer
-from kvstrata.sources.scratch import durable
+from kvstrata.sources.scratch import bounded_broadcast, durable
 
 FANOUT_BITS = 4
+#: Covered positions, or changed leaves, of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def leaf_digests(rows: DataFrame, part: str, leaf: str, row_hash: Column, counted: Column | None = None) -> DataFrame:
@@ -95,9 +97,10 @@ def uncovered(sources: list[Source], covered: DataFrame) -> list[DataFrame]:
     """Per source (record, record_cf): the records none of whose rows lies at or below the covered position of its database and family.
 
     One tree over all sources: the saved one holds the rows covered so far, the
-    current one all rows.  Rows with a null position, database or family are
+    current one all rows.  ``covered`` should be a stored table.  Rows with a null position, database or family are
     covered by nothing."""
     seen = covered.select(F.col("db_id").alias("_db"), F.col("cf").alias("_cf"), F.col("log").alias("_log"), F.col("seq").alias("_seq"))
+    seen = bounded_broadcast(seen, covered.count(), BROADCAST_ROWS)
     marked, leaves = [], []
     for s in sources:
         rows = s.rows.select(*dict.fromkeys([*s.record, "db_id", "cf", s.log, s.seq]))
@@ -112,7 +115,8 @@ def uncovered(sources: list[Source], covered: DataFrame) -> list[DataFrame]:
         leaves.append(rows.groupBy("_part", "_leaf").agg(*digests))
     stored = durable(reduce(lambda x, y: x.unionByName(y), leaves))
     current, saved = (stored.where(F.col(f"n{m}") > 0).select(F.col("_part").alias("part"), F.col("_leaf").alias("leaf"), F.xxhash64(f"n{m}", f"x{m}", f"s{m}").alias("digest")) for m in ("", "2"))
-    open_leaves = durable(changed_leaves(current, saved)).select(F.col("part").alias("_part"), F.col("leaf").alias("_leaf"))
+    open_leaves = durable(changed_leaves(current, saved).select(F.col("part").alias("_part"), F.col("leaf").alias("_leaf")))
+    open_leaves = bounded_broadcast(open_leaves, open_leaves.count(), BROADCAST_ROWS)
     out = []
     for s, rows in zip(sources, marked):
         fresh = rows.join(open_leaves, ["_part", "_leaf"], "left_semi")

@@ -42,8 +42,9 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, most: int):
-    """A broadcast hint on ``df`` if its measured ``rows`` are at most ``most``; otherwise ``df`` as it is, to be shuffled."""
-    from pyspark.sql import functions as F
+def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df`` to be broadcast if its measured ``rows`` are at most ``most``, otherwise to be shuffled and merged.
 
-    return F.broadcast(df) if rows <= most else df
+    Left to itself, Spark would go by the compressed size of a stored table, which
+    may be a small part of its size in memory."""
+    return df.hint("broadcast" if rows <= most else "merge")

@@ -411,6 +411,89 @@ def file_overlap(spark, d):
     return picker.overlap_totals(files, below, ["db_id", "cf", "level"]).select("db_id", "cf", "level", "file_id", "n_overlap", "overlap_bytes")
 
 
+# The picker over every recorded file, by database and family
+
+
+def _recorded(spark, d):
+    """(sizing options of the ``level_targets`` table, recorded files with their database and family as ``grp``); unknown sizes count as 0."""
+    rows = table(spark, d, "level_targets").where("file_level IS NOT NULL").orderBy("file_level").limit(100).collect()  # one row per level
+    limits = [r.max_level_bytes for r in rows if r.max_level_bytes and r.max_level_bytes > 0]
+    plain = picker.LevelOptions()
+    options = picker.LevelOptions(
+        max_level=rows[-1].file_level + 1 if rows else plain.max_level, base_bytes=limits[0] if limits else plain.base_bytes, multiplier=limits[1] / limits[0] if len(limits) > 1 else plain.multiplier
+    )
+    known = F.when(F.col("file_size") > 0, F.col("file_size")).otherwise(0).cast("long")
+    files = manifest.latest_files(table(spark, d, "files"))
+    return options, durable(files.select(F.struct("db_id", "cf").alias("grp"), F.col("file_level").alias("level"), F.col("file_number").alias("file_id"), "smallest", "largest", known.alias("file_size"), "being_compacted"))
+
+
+def _recorded_choice(spark, d):
+    """(files, the files that the compactions of all groups start from)."""
+    options, files = _recorded(spark, d)
+    picked = durable(picker.pick_level(picker.level_scores(files, "grp", options), "grp"))
+    return files, picker.pick_files(files, picked, "grp")
+
+
+#: The sizing rule in SQL: level sums, the largest level divided down to the base level, and the targets from there.
+_RECORDED = f"""{_LATEST}, lim AS (SELECT max_level_bytes AS b, row_number() OVER (ORDER BY file_level) AS rn FROM level_targets WHERE max_level_bytes > 0),
+opt AS (SELECT coalesce((SELECT b FROM lim WHERE rn = 1), 268435456) AS base, coalesce((SELECT CAST(b AS DOUBLE) FROM lim WHERE rn = 2) / (SELECT b FROM lim WHERE rn = 1), 10.0) AS mult, (SELECT max(file_level) FROM level_targets) AS deep),
+f AS (SELECT db_id, cf, file_number AS file_id, file_level AS level, smallest, largest, CAST(CASE WHEN file_size > 0 THEN file_size ELSE 0 END AS BIGINT) AS size, coalesce(being_compacted, false) AS busy FROM latest),
+lv AS (SELECT db_id, cf, level, count(*) AS n, CAST(sum(size) AS BIGINT) AS b, CAST(sum(CASE WHEN busy THEN 0 ELSE size END) AS BIGINT) AS idle, bool_or(busy) AS busy FROM f WHERE level IS NOT NULL GROUP BY 1, 2, 3),
+g0 AS (SELECT db_id, cf, CAST(coalesce(sum(n) FILTER (WHERE level = 0), 0) AS BIGINT) AS n0, CAST(coalesce(sum(b) FILTER (WHERE level = 0), 0) AS BIGINT) AS b0, coalesce(bool_or(busy) FILTER (WHERE level = 0), false) AS busy0,
+  coalesce(max(b) FILTER (WHERE level > 0), 0) AS biggest, min(level) FILTER (WHERE level > 0 AND b > 0) AS top FROM lv GROUP BY 1, 2),
+g AS (SELECT *, greatest(b0, base) AS ceiling, floor(greatest(b0, base) / mult + 0.5) AS lowest FROM g0, opt),
+st AS (SELECT db_id, cf, top, deep, mult, ceiling, 0 AS j, CAST(biggest AS DOUBLE) AS size FROM g WHERE biggest > 0
+  UNION ALL SELECT db_id, cf, top, deep, mult, ceiling, j + 1, floor(size / mult + 0.5) FROM st WHERE j < deep - 1),
+stop AS (SELECT db_id, cf, min(j) AS j FROM st WHERE j >= deep - top AND (size <= ceiling OR j = deep - 1) GROUP BY 1, 2),
+based AS (SELECT g.*, CASE WHEN a.size <= lowest THEN g.top ELSE g.deep - e.j END AS bl, CASE WHEN a.size <= lowest THEN lowest + 1 ELSE least(z.size, g.ceiling) END AS s0
+  FROM g JOIN stop e ON e.db_id = g.db_id AND e.cf IS NOT DISTINCT FROM g.cf JOIN st a ON a.db_id = g.db_id AND a.cf IS NOT DISTINCT FROM g.cf AND a.j = g.deep - g.top JOIN st z ON z.db_id = g.db_id AND z.cf IS NOT DISTINCT FROM g.cf AND z.j = e.j),
+grown AS (SELECT *, CASE WHEN b0 > s0 AND (b0 > base OR n0 // 2 > 4) THEN CAST(b0 AS DOUBLE) ELSE s0 END AS s1 FROM based),
+fac AS (SELECT *, CASE WHEN bl = deep THEN 1.0 ELSE pow(biggest / s1, 1.0 / (deep - bl)) END AS factor FROM grown),
+tg AS (SELECT db_id, cf, bl AS level, s1 AS size, factor, ceiling, deep FROM fac UNION ALL SELECT db_id, cf, level + 1, floor(size * factor + 0.5), factor, ceiling, deep FROM tg WHERE level < deep),
+sized AS (SELECT g.db_id, g.cf, g.n0, g.b0, g.busy0, g.base, g.deep, coalesce(x.bl, g.deep) AS bl, CAST(coalesce(x.factor, 1.0) AS DOUBLE) AS factor, greatest(x.s1, x.ceiling) AS low FROM g LEFT JOIN fac x ON x.db_id = g.db_id AND x.cf IS NOT DISTINCT FROM g.cf),
+levels AS (SELECT s.*, CAST(r.l AS INTEGER) AS level, CAST(greatest(t.size, t.ceiling) AS BIGINT) AS target, coalesce(lv.idle, 0) AS idle
+  FROM sized s CROSS JOIN range(0, 100) r(l) LEFT JOIN tg t ON t.db_id = s.db_id AND t.cf IS NOT DISTINCT FROM s.cf AND t.level = r.l LEFT JOIN lv ON lv.db_id = s.db_id AND lv.cf IS NOT DISTINCT FROM s.cf AND lv.level = r.l WHERE r.l <= s.deep),
+scores AS (SELECT db_id, cf, level, bl, CASE WHEN level > 0 THEN coalesce(idle / target, 0.0) ELSE greatest(n0 / 4, coalesce(b0 / greatest(base, floor(low / factor + 0.5)), 0.0)) END AS score FROM levels WHERE level < deep AND NOT (level = 0 AND busy0)),
+picked AS (SELECT db_id, cf, level, CASE WHEN level = 0 THEN bl ELSE level + 1 END AS output_level FROM (SELECT *, row_number() OVER (PARTITION BY db_id, cf ORDER BY score DESC, level) AS rn FROM scores) x WHERE rn = 1 AND score >= 1),
+own AS (SELECT f.*, p.output_level FROM f JOIN picked p ON p.db_id = f.db_id AND p.cf IS NOT DISTINCT FROM f.cf AND p.level = f.level),
+met AS (SELECT a.db_id, a.cf, a.file_id, coalesce(sum(b.size), 0) // a.size AS ratio FROM own a LEFT JOIN f b ON b.db_id = a.db_id AND b.cf IS NOT DISTINCT FROM a.cf AND b.level = a.level + 1 AND b.smallest <= a.largest AND b.largest >= a.smallest
+  WHERE a.level > 0 AND NOT a.busy AND a.size > 0 GROUP BY a.db_id, a.cf, a.file_id, a.size HAVING NOT coalesce(bool_or(b.busy), false)),
+chosen AS (SELECT * FROM own WHERE level = 0 UNION ALL SELECT o.* FROM own o JOIN (SELECT *, row_number() OVER (PARTITION BY db_id, cf ORDER BY ratio, file_id) AS rn FROM met) m ON m.rn = 1 AND m.db_id = o.db_id AND m.file_id = o.file_id),
+hull AS (SELECT db_id, cf, output_level, min(smallest) AS lo, max(largest) AS hi FROM chosen GROUP BY 1, 2, 3),
+more AS (SELECT f.*, h.output_level FROM f JOIN hull h ON h.db_id = f.db_id AND h.cf IS NOT DISTINCT FROM f.cf AND f.level = h.output_level AND f.smallest <= h.hi AND f.largest >= h.lo)"""
+
+
+@query(f"WITH RECURSIVE {_RECORDED} SELECT db_id, cf, level, CAST(bl AS INTEGER) AS base_level, target, round(factor, 6) AS factor FROM levels")
+def recorded_level_targets(spark, d):
+    options, files = _recorded(spark, d)
+    return picker.level_scores(files, "grp", options).select("grp.*", "level", "base_level", "target", F.round("factor", 6).alias("factor"))
+
+
+@query(f"WITH RECURSIVE {_RECORDED} SELECT db_id, cf, level, CAST(round(score, 6) AS DOUBLE) AS score FROM scores")
+def recorded_compaction_score(spark, d):
+    options, files = _recorded(spark, d)
+    return picker.level_scores(files, "grp", options).where("score IS NOT NULL").select("grp.*", "level", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH RECURSIVE {_RECORDED} SELECT db_id, cf, level, CAST(output_level AS INTEGER) AS output_level FROM picked")
+def recorded_pick_level(spark, d):
+    options, files = _recorded(spark, d)
+    return picker.pick_level(picker.level_scores(files, "grp", options), "grp").select("grp.*", "level", "output_level")
+
+
+@query(f"WITH RECURSIVE {_RECORDED} SELECT db_id, cf, file_id FROM chosen")
+def recorded_pick_files(spark, d):
+    return _recorded_choice(spark, d)[1].select("grp.*", "file_id")
+
+
+@query(f"""WITH RECURSIVE {_RECORDED} SELECT DISTINCT x.db_id, x.cf, x.file_id, CAST(x.output_level AS INTEGER) AS output_level
+FROM (SELECT db_id, cf, file_id, output_level FROM chosen UNION ALL SELECT db_id, cf, file_id, output_level FROM more) x
+WHERE NOT EXISTS (SELECT 1 FROM more m WHERE m.busy AND m.db_id = x.db_id AND m.cf IS NOT DISTINCT FROM x.cf)""")
+def recorded_expand_inputs(spark, d):
+    files, chosen = _recorded_choice(spark, d)
+    return picker.expand_inputs(files, durable(chosen), "grp").select("grp.*", "file_id", "output_level")
+
+
 @query(f"WITH {_LATEST} SELECT cf, file_level, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(CASE WHEN file_size > 0 THEN file_size ELSE 0 END) AS BIGINT) AS n_bytes FROM latest GROUP BY 1, 2")
 def level_stats(spark, d):
     return manifest.level_stats(manifest.latest_files(table(spark, d, "files")), ["cf"])

@@ -10,8 +10,9 @@ it or it has fewer than ``max_sources`` of them.
 Items are dealt by a hash of their id to shards of about ``shard_items``; shards
 are packed independently, so no task holds more than a shard whatever source or
 cluster is hot, and each shard costs at most its last few containers.  A cluster
-with more members in a shard than the shard needs containers is split into
-several, as otherwise copies would force containers that stay nearly empty.
+with more members in a shard than the shard needs containers (or, where the bound
+on sources binds, than containers can hold its source) is split into as few parts
+as that takes, as otherwise copies would force containers that stay nearly empty.
 
 Defined results: items above the capacity are cut into full pieces (each its own
 container) and a rest, which is packed as an item; no other item is cut.  Items
@@ -92,15 +93,29 @@ def pack_shard(items: list[tuple], capacity: int, max_sources: int | None, cut:
         volume[items[i][2]] = volume.get(items[i][2], 0) + size
     needed = max(1, sum(volume.values()) // capacity)
     # Containers over which copies of a source may spread: if few sources share one, the others must keep room.
-    hosts = {s: max(1, min(needed, v * (max_sources or len(volume)) // capacity)) for s, v in volume.items()}
-    cluster_bit: dict = {}
+    loose = max_sources is None or max_sources >= len(volume)
+    hosts = {s: needed if loose else max(1, min(needed, v * max_sources // capacity)) for s, v in volume.items()}
+    members: dict = {}
+    for size, i, _ in pieces:
+        _, _, source, cluster = items[i]
+        if size and seen.get(cluster, 0) > 1:  # singletons and items of no size cannot conflict
+            of = members.setdefault(cluster, {})
+            of[source] = of.get(source, 0) + 1
+    # A cluster's parts, as few as its copies as a whole and those of each source take; copies are dealt to them source by source.
+    parts = {c: max(-(-sum(of.values()) // needed), *(-(-n // hosts[s]) for s, n in of.items())) for c, of in members.items()}
     dealt: dict = {}
+    for c, of in members.items():
+        n = 0
+        for s, m in of.items():
+            dealt[c, s] = n
+            n += m
+    cluster_bit: dict = {}
     for size, i, piece in pieces:
         _, _, source, cluster = items[i]
         bit = 0
-        if size and seen.get(cluster, 0) > 1:  # singletons and items of no size cannot conflict
-            n = dealt[cluster] = dealt.get(cluster, -1) + 1
-            bit = cluster_bit.setdefault((cluster, n // hosts[source]), 1 << len(cluster_bit))
+        if size and cluster in members:
+            bit = cluster_bit.setdefault((cluster, dealt[cluster, source] % parts[cluster]), 1 << len(cluster_bit))
+            dealt[cluster, source] += 1
         if size > capacity:
             out.append((i, piece, size, bins.fresh()))
         else:

@@ -165,7 +165,11 @@ def _cut(slots, sizes: DataFrame, quotas: dict) -> dict[tuple, int]:
                     break
                 held[k] += more
             else:
-                cuts[k] = hi
+                most = quotas[k[0]][k[1]][2]
+                if hi < most:  # a few large blocks make the mean: they may stand behind the first slots
+                    span[k] = (hi, min(most, 2 * hi))
+                else:
+                    cuts[k] = hi
                 continue
             if w > 1 and more > want / 10_000:
                 span[k] = (at, min(at + w, hi))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kvstrata.llm.mixing import draw, shares
 from kvstrata.llm.packing import fill_report, pack, read_specs, sized_documents
-from kvstrata.llm.passages import shared_pairs, shared_share
+from kvstrata.llm.passages import remove_spans, shared_pairs, shared_share, shared_spans
 from kvstrata.sources.scratch import durable
 from kvstrata.sources.tables import table
 
@@ -45,7 +45,13 @@ def p8_shared_share(spark, d):
     return shared_share(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_assignment, p6_fill, p7_drawn, p7_shares, p8_found, p8_shared_share)}
+def p8_left(spark, d):
+    """Per speech: its text without the passages that stand in another, too."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return remove_spans(docs, shared_spans(docs))
+
+
+QUERIES = {f.__name__: f for f in (p6_assignment, p6_fill, p7_drawn, p7_shares, p8_found, p8_shared_share, p8_left)}
 
 _WINDOWS = """t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
 w AS (SELECT doc_id, i, substring(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM t) x),
@@ -58,4 +64,7 @@ ORACLE_SQL: dict[str, str] = {
 c AS (SELECT doc_id, sum(least(coalesce(j - i, 200), 200)) AS n FROM p GROUP BY 1),
 d AS (SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars FROM documents)
 SELECT d.doc_id, d.n_chars, CAST(coalesce(c.n, 0) AS BIGINT) AS shared_chars, CASE WHEN d.n_chars > 0 THEN coalesce(c.n, 0) / d.n_chars ELSE 0.0 END AS shared_share FROM d LEFT JOIN c ON c.doc_id = d.doc_id""",
+    "p8_left": f"""WITH {_WINDOWS}, p AS (SELECT w.doc_id, w.i, lead(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS j FROM w JOIN m ON m.s = w.s),
+c AS (SELECT p.doc_id, min(i) AS first, string_agg(CASE WHEN j IS NULL THEN substring(t.text, i + 200) WHEN j > i + 200 THEN substring(t.text, i + 200, j - i - 200) ELSE '' END, '' ORDER BY i) AS rest FROM p JOIN t ON t.doc_id = p.doc_id GROUP BY 1)
+SELECT d.doc_id, CASE WHEN c.doc_id IS NULL THEN d.text ELSE substring(d.text, 1, first - 1) || rest END AS text FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""",
 }

@@ -1,7 +1,8 @@
 """References to records that do not exist at the moment of the reference.
 
-Method: skew-aware split.  References are first counted per key and period,
-which folds a hot key to a few rows before anything is shuffled.  Keys with more
+Method: skew-aware split.  References are first counted per key and period; the
+counts only tell which keys are heavy, what is looked up are the references
+themselves.  Where no key is heavy, all go through the anti join.  Keys with more
 than ``heavy`` references are looked up in a broadcast map of their life spans,
 if both their number and that of their spans are measured to be within
 ``HEAVY_SPANS``; all other keys go

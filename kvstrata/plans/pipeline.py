@@ -61,6 +61,14 @@ def _seen(spark, d):
     return seen_before(history, table(spark, d, "probe_keys").select("probe_no", "db_id", "cf", "user_key"), ["user_key"], ["db_id", "cf"], "probe_no")
 
 
+def p2_unmatched(spark, d):
+    """Planned flushed files whose operations found in the log are not as many as their entries."""
+    plan = durable(_merge_plan(spark, d))
+    held = flushed_bodies(plan, table(spark, d, "files"), table(spark, d, "kv_log")).select("db_id", "file_number", "entries")
+    both = plan.where("file_level = 0").join(held, ["db_id", "file_number"], "left").withColumn("entries", F.coalesce("entries", F.lit(0).cast("long")))
+    return both.where("NOT num_entries <=> entries").select("db_id", "file_number", "num_entries", "entries")
+
+
 def p3_found(spark, d):
     """Incoming keys that occurred before."""
     return _seen(spark, d).where("seen").select("probe_no").distinct()
@@ -93,7 +101,7 @@ def p5_found(spark, d):
     return keys.unionByName(files)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_outputs, p2_totals, p2_concatenated, p3_found, p3_wrong_answers, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_outputs, p2_totals, p2_concatenated, p2_unmatched, p3_found, p3_wrong_answers, p4_found, p5_found)}
 
 _FILE = "(packed_number_and_path_id & 4611686018427387903)"
 

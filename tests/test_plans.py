@@ -9,7 +9,7 @@ from helpers import LOG, op
 from kvstrata.operators import compact, read
 from kvstrata.operators.changes import live_keys
 from kvstrata.sources.kv import KV_SCHEMA
-from kvstrata.sources.scratch import durable, scratch_dir
+from kvstrata.sources.scratch import _local_folder, durable, scratch_dir
 
 
 def plan(df):
@@ -55,4 +55,11 @@ def test_scratch_tables_lie_in_the_application_folder(spark):
     at = scratch_dir(spark)
     assert spark.sparkContext.applicationId in at
     df = durable(spark.range(10))
-    assert df.count() == 10 and any(f.startswith("file:") for f in df.inputFiles()) and all(at.replace("file://", "") in f for f in df.inputFiles())
+    assert df.count() == 10 and df.inputFiles() and all(at.replace("file://", "") in f for f in df.inputFiles())
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    assert _local_folder("app-1", "local[8]") == _local_folder("app-1", "local")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(RuntimeError):
+            _local_folder("app-2", master)

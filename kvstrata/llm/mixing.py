@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvstrata.llm.packing import SHARD_ITEMS, pack_shard
@@ -38,6 +38,8 @@ from kvstrata.sources.scratch import durable
 
 BLOCK_TOKENS = 1024
 SLOTS_PER_SHARD = 256
+#: Slots that one task makes at most, and the pieces of the plan that a task is dealt.
+SLOTS_PER_TASK, PIECES_PER_TASK = 1 << 18, 4
 MAX_SHARDS = 4096
 LEAST_FRACTION = 0.25
 #: Sums per (mix, source) that the driver sees at a time.
@@ -122,10 +124,20 @@ def permuted(place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(plan: DataFrame) -> DataFrame:
-    """(mix_name, shard, slot, source, copy_no, block) of plan rows (mix_name, shard, source, begin, n, blocks, key)."""
-    step = 1 << 16
-    parts = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("o"))
+def slot_tasks(spark: SparkSession, slots: int) -> int:
+    """Tasks that a number of slots is dealt to: at least as many as shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slots // SLOTS_PER_TASK))
+
+
+def _slots(plan: DataFrame, slots: int) -> DataFrame:
+    """(mix_name, shard, slot, source, copy_no, block) of plan rows (mix_name, shard, source, begin, n, blocks, key), ``slots`` in all.
+
+    The plan is cut into pieces, and these are dealt in turn to a fixed number of
+    tasks, so no mix, source or shard is one task, and adaptive execution does not
+    fold the tiny plan into one, either."""
+    tasks = slot_tasks(plan.sparkSession, slots)
+    step = max(1, -(-slots // (tasks * PIECES_PER_TASK)))
+    parts = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("o")).repartition(tasks)
     each = parts.select("mix_name", "shard", "source", "blocks", "key", F.explode(F.sequence(F.col("begin") + F.col("o"), F.col("begin") + F.least(F.col("n"), F.col("o") + step) - 1)).alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +207,7 @@ def draw(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
 
     def slots(plan: list[tuple]) -> DataFrame:
         full = [(m, shard, s, begin, n, int(stats[s][1]), keys[m, s]) for m, shard, s, begin, n in plan]
-        return _slots(spark.createDataFrame(full, "mix_name string, shard long, source string, begin long, n long, blocks long, key long").repartition("mix_name", "shard"))
+        return _slots(spark.createDataFrame(full, "mix_name string, shard long, source string, begin long, n long, blocks long, key long"), sum(x[4] for x in full))
 
     cuts = _cut(slots, blocks.groupBy("source", "block").agg(F.sum("tokens").alias("size")), quotas)
     plan = []
@@ -205,12 +217,27 @@ def draw(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
 
 
 def shares(drawn: DataFrame, targets: DataFrame, sized: DataFrame) -> DataFrame:
-    """Per mix and target: tokens, distinct records, the most uses of one, the actual share, and the tokens the source has."""
+    """Per mix and target: tokens, distinct records, the most uses of one, the actual share, the tokens the source has, and whether it is ``used_up`` (every token max_repeats times, so that it may fall short of its target)."""
     used = drawn.groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("uses"), F.sum("tokens").alias("t"))
     got = used.groupBy("mix_name", "source").agg(F.sum("t").alias("tokens"), F.count("*").alias("docs"), F.max("uses").alias("most_uses"))
     w = Window.partitionBy("mix_name")
-    held = sized.where("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
+    held = sized.where("source IS NOT NULL AND doc_id IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     zero = F.lit(0).cast("long")
     full = targets.join(got, ["mix_name", "source"], "left").join(held, "source", "left").fillna(0, ["tokens", "docs", "most_uses", "available_tokens"])
     whole = F.sum("tokens").over(w)
-    return full.select("mix_name", "source", "target_share", "max_repeats", "available_tokens", "tokens", "docs", "most_uses", F.when(whole > 0, F.col("tokens") / whole).otherwise(zero).alias("actual_share"))
+    used_up = (F.col("available_tokens") > 0) & (F.col("tokens") >= F.col("available_tokens") * F.greatest(F.lit(1), F.coalesce("max_repeats", F.lit(1))))
+    return full.select("mix_name", "source", "target_share", "max_repeats", "available_tokens", "tokens", "docs", "most_uses", F.when(whole > 0, F.col("tokens") / whole).otherwise(zero).alias("actual_share"), used_up.alias("used_up"))
+
+
+def checked_shares(report: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(mix_name, source, max_repeats, is_drawn, within_repeats, near_target) of a ``shares`` report.
+
+    Targets of sources that hold tokens are scaled to sum to 1, as ``draw`` scales
+    them; a share is near its target if it is within ``tolerance`` of it, or a source
+    of the mix is used up before its target (which leaves the rest more than
+    theirs)."""
+    w = Window.partitionBy("mix_name")
+    live = F.when((F.col("available_tokens") > 0) & (F.col("target_share") > 0), F.col("target_share")).otherwise(F.lit(0.0))
+    report = report.withColumn("wanted", F.try_divide(live, F.sum(live).over(w)))
+    near = F.coalesce(F.abs(F.col("actual_share") - F.col("wanted")) <= tolerance, F.lit(True)) | F.max(F.col("used_up") & (F.col("actual_share") < F.col("wanted"))).over(w)
+    return report.select("mix_name", "source", "max_repeats", (F.col("docs") > 0).alias("is_drawn"), (F.col("most_uses") <= F.greatest(F.lit(1), F.coalesce("max_repeats", F.lit(1)))).alias("within_repeats"), near.alias("near_target"))

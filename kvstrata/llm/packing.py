@@ -7,9 +7,11 @@ on to the next larger one until the container is compatible: the item's cluster
 is not in it yet (copies of a text spread over containers) and its source is in
 it or it has fewer than ``max_sources`` of them.
 
-Items are dealt by a hash of their id to shards of about ``shard_items``; shards
-are packed independently, so no task holds more than a shard whatever source or
-cluster is hot, and each shard costs at most its last few containers.  A cluster
+Items are dealt by a hash of what they are (id, source, cluster, size, and a
+number among wholly equal rows) to shards of about ``shard_items``, so the result
+does not depend on how the rows are partitioned.  Shards are packed
+independently: no task holds more than a shard whatever source or cluster is hot,
+and each shard costs at most its last few containers.  A cluster
 with more members in a shard than the shard needs containers (or, where the bound
 on sources binds, than containers can hold its source) is split into as few parts
 as that takes, as otherwise copies would force containers that stay nearly empty.
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from kvstrata.llm.tokens import VOCABULARY, with_tokens
 from kvstrata.sources.scratch import durable
 
+ITEM = ["doc_id", "source", "cluster", "tokens"]
 SHARD_ITEMS = 8192
 MAX_SOURCES = 8
 
@@ -129,11 +132,26 @@ def sized_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return with_tokens(keep, "_text", ["doc_id", "source", "cluster"], vocabulary=vocabulary)
 
 
+def numbered_copies(items: DataFrame, step: int = 4096) -> DataFrame:
+    """``items`` with ``_copy``, which numbers wholly equal rows from 0.
+
+    Equal rows are counted map-side and made again from their count, so a row that
+    is repeated without end is neither sorted nor held by one task."""
+    counted = items.groupBy(*items.columns).agg(F.count("*").alias("_n"))
+    runs = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(step).cast("long"))).alias("_from"))
+    return runs.select(*items.columns, F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + step) - 1)).alias("_copy"))
+
+
+def _stable(row: tuple) -> tuple:
+    """An order of (id, size, source, cluster) rows in which only equal rows tie; nulls come last."""
+    return tuple((x is None, 0 if x is None else x) for x in row)
+
+
 def pack(items: DataFrame, specs: dict[str, int], shard_items: int = SHARD_ITEMS, max_sources: int | None = MAX_SOURCES) -> DataFrame:
     """(spec_name, container_id, doc_id, piece_no, tokens) for items (doc_id, source, cluster, tokens) and each named capacity."""
-    items = durable(items)
+    items = durable(items.select(*ITEM))
     shards = max(1, -(-items.count() // shard_items))
-    spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id() % 64), F.lit(shards)).cast("long") if shards > 1 else F.lit(0).cast("long"))
+    spread = numbered_copies(items).withColumn("shard", F.pmod(F.xxhash64(*ITEM, "_copy"), F.lit(shards)).cast("long")).drop("_copy")
     id_type = dict(items.dtypes)["doc_id"]
 
     def run(pdf):
@@ -142,10 +160,11 @@ def pack(items: DataFrame, specs: dict[str, int], shard_items: int = SHARD_ITEMS
         shard = int(pdf["shard"].iloc[0])
         ids = pdf["doc_id"].tolist()
         ids = [None if x is None or x != x else int(x) for x in ids] if id_type in ("bigint", "int") else ids
-        rows = list(zip(ids, pdf["tokens"].tolist(), pdf["source"].tolist(), pdf["cluster"].tolist()))
+        clusters = [None if x is None or x != x else int(x) for x in pdf["cluster"].tolist()]
+        rows = sorted(zip(ids, pdf["tokens"].tolist(), pdf["source"].tolist(), clusters), key=_stable)
         out = []
         for name, capacity in specs.items():
-            out += [(name, (shard << 32) | b, ids[i], piece, size) for i, piece, size, b in pack_shard(rows, capacity, max_sources)]
+            out += [(name, (shard << 32) | b, rows[i][0], piece, size) for i, piece, size, b in pack_shard(rows, capacity, max_sources)]
         return pd.DataFrame({"spec_name": [x[0] for x in out], "container_id": [x[1] for x in out], "doc_id": pd.array([x[2] for x in out], dtype="Int64" if id_type in ("bigint", "int") else object), "piece_no": [x[3] for x in out], "tokens": [x[4] for x in out]})
 
     return spread.groupBy("shard").applyInPandas(run, f"spec_name string, container_id long, doc_id {id_type}, piece_no int, tokens long")
@@ -166,3 +185,17 @@ def fill_report(assigned: DataFrame, specs: dict[str, int]) -> DataFrame:
     total = used.groupBy("spec_name").agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"), F.max("held").alias("fullest"))
     total = total.withColumn("capacity_tokens", capacity[F.col("spec_name")].cast("long"))
     return total.select("spec_name", "capacity_tokens", "containers", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def checked_assignment(items: DataFrame, assigned: DataFrame, specs: dict[str, int]) -> DataFrame:
+    """(spec_name, capacity_tokens, n_docs, n_whole, n_overfull): the ids of ``items``, those whose pieces are as many and as large as they must be, and containers above the capacity.
+
+    ``items`` has one row per id; ids that are null are left out."""
+    capacity = F.create_map(F.lit(""), F.lit(1), *[F.lit(x) for kv in specs.items() for x in kv])[F.col("spec_name")].cast("long").alias("capacity_tokens")
+    sizes = items.where("doc_id IS NOT NULL").select("doc_id", F.col("tokens").alias("size"))
+    placed = assigned.where("doc_id IS NOT NULL").groupBy("spec_name", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("held")).select("*", capacity)
+    whole = (F.col("held") == F.col("size")) & (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity_tokens"))))
+    docs = placed.join(sizes, "doc_id").groupBy("spec_name", "capacity_tokens").agg(F.count("*").alias("n_docs"), F.count_if(whole).alias("n_whole"))
+    held = assigned.groupBy("spec_name", "container_id").agg(F.sum("tokens").alias("held")).select("*", capacity)
+    over = held.groupBy("spec_name").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("n_overfull"))
+    return docs.join(over, "spec_name").select("spec_name", "capacity_tokens", "n_docs", "n_whole", "n_overfull")

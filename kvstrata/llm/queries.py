@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kvstrata.llm.mixing import draw, shares
-from kvstrata.llm.packing import fill_report, pack, read_specs, sized_documents
+from kvstrata.llm.mixing import checked_shares, draw, shares
+from kvstrata.llm.packing import checked_assignment, fill_report, pack, read_specs, sized_documents
 from kvstrata.llm.passages import remove_spans, shared_pairs, shared_share, shared_spans
 from kvstrata.sources.scratch import durable
 from kvstrata.sources.tables import table
@@ -20,6 +20,13 @@ def p6_fill(spark, d):
     return fill_report(p6_assignment(spark, d), read_specs(table(spark, d, "container_specs")))
 
 
+def p6_checked(spark, d):
+    """What the assignment must keep, per spec: every speech placed whole and once, cut only where it exceeds the capacity, and no container over it."""
+    specs = read_specs(table(spark, d, "container_specs"))
+    sized = durable(sized_documents(table(spark, d, "documents").select("doc_id", "source", "text")))
+    return checked_assignment(sized, durable(pack(sized, specs)), specs)
+
+
 def _sized(spark, d):
     return durable(sized_documents(table(spark, d, "documents").select("doc_id", "source", "text")).drop("cluster"))
 
@@ -35,6 +42,12 @@ def p7_shares(spark, d):
     return shares(draw(sized, targets), targets, sized)
 
 
+def p7_checked(spark, d):
+    """What the mixes must keep: which sources are drawn from, no speech too often, shares near their targets."""
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return checked_shares(shares(draw(sized, targets), targets, sized))
+
+
 def p8_found(spark, d):
     """Pairs of speeches with an identical passage of 200 or more code points."""
     return shared_pairs(table(spark, d, "documents").select("doc_id", "text"))
@@ -51,14 +64,18 @@ def p8_left(spark, d):
     return remove_spans(docs, shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p6_assignment, p6_fill, p7_drawn, p7_shares, p8_found, p8_shared_share, p8_left)}
+QUERIES = {f.__name__: f for f in (p6_assignment, p6_fill, p6_checked, p7_drawn, p7_shares, p7_checked, p8_found, p8_shared_share, p8_left)}
 
 _WINDOWS = """t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
 w AS (SELECT doc_id, i, substring(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM t) x),
 u AS (SELECT DISTINCT doc_id, s FROM w), m AS (SELECT s FROM u GROUP BY s HAVING count(*) > 1)"""
 
-#: Token counts, packing and draws have no SQL form; tests/llm checks them against brute force and their constraints.
+#: Token counts, packing and draws have no SQL form: p6_checked and p7_checked compare what they must keep with what the tables ask for, tests/llm checks them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "p6_checked": """SELECT s.spec_name, CAST(s.capacity_tokens AS BIGINT) AS capacity_tokens, CAST(d.n AS BIGINT) AS n_docs, CAST(d.n AS BIGINT) AS n_whole, CAST(0 AS BIGINT) AS n_overfull
+FROM container_specs s, (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE doc_id IS NOT NULL) d WHERE s.spec_name IS NOT NULL AND s.capacity_tokens >= 1 AND d.n > 0""",
+    "p7_checked": """SELECT t.mix_name, t.source, t.max_repeats, coalesce(d.n, 0) > 0 AS is_drawn, true AS within_repeats, true AS near_target
+FROM mix_targets t LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL AND length(text) > 0 GROUP BY 1) d ON d.source = t.source""",
     "p8_found": f"""WITH {_WINDOWS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM u a JOIN m ON m.s = a.s JOIN u b ON b.s = a.s AND b.doc_id > a.doc_id""",
     "p8_shared_share": f"""WITH {_WINDOWS}, p AS (SELECT w.doc_id, w.i, lead(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS j FROM w JOIN m ON m.s = w.s),
 c AS (SELECT doc_id, sum(least(coalesce(j - i, 200), 200)) AS n FROM p GROUP BY 1),

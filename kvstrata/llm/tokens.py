@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The public split pattern of that vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A run without a place to split it (blank-free text of one kind) is encoded in pieces of so many code points, as byte pair merging takes more than linear time.
-RUN = 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -29,20 +27,8 @@ def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
 
 
 def token_count(text: str | None, enc) -> int:
-    """Tokens of a text; null and empty texts have none."""
-    if not text:
-        return 0
-    if len(text) <= RUN:
-        return len(enc.encode_ordinary(text))
-    import regex
-
-    total, start = 0, 0
-    for m in regex.finditer(rf"\S{{{RUN},}}|\s{{{RUN},}}", text):
-        total += len(enc.encode_ordinary(text[start : m.start()]))
-        run = m.group()
-        total += sum(len(enc.encode_ordinary(run[i : i + RUN])) for i in range(0, len(run), RUN))
-        start = m.end()
-    return total + len(enc.encode_ordinary(text[start:]))
+    """Tokens of a text; null and empty texts have none.  Byte pair merging takes near linear time, also where a long text has no place to split it."""
+    return len(enc.encode_ordinary(text)) if text else 0
 
 
 def with_tokens(df: DataFrame, text_col: str, keep: list[str], out: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:

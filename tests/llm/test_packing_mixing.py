@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from kvstrata.llm import mixing, packing
-from kvstrata.llm.mixing import blocks_of, draw, permuted, shares
-from kvstrata.llm.packing import fill_report, pack, pack_shard, read_specs, sized_documents
-from kvstrata.llm.tokens import RUN, encoder, token_count, with_tokens
+from kvstrata.llm.mixing import blocks_of, checked_shares, draw, permuted, shares
+from kvstrata.llm.packing import checked_assignment, fill_report, pack, pack_shard, read_specs, sized_documents
+from kvstrata.llm.tokens import encoder, token_count, with_tokens
 
 ITEMS = "doc_id long, source string, cluster long, tokens long"
 SIZED = "doc_id long, source string, tokens long"
@@ -19,8 +19,8 @@ TARGETS = "mix_name string, source string, target_share double, max_repeats int"
 def test_tokens(spark):
     enc = encoder()
     assert token_count(None, enc) == token_count("", enc) == 0
-    long = "word " * 30_000 + "x" * (2 * RUN + 5) + " " * RUN + "end"
-    assert token_count("Hello world", enc) == 2 and token_count(long, enc) > 30_000
+    long = "word " * 30_000 + "x" * 131_077 + " " * 65_536 + "end"
+    assert token_count("Hello world", enc) == 2 and token_count(long, enc) == len(enc.encode_ordinary(long)) > 30_000
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id long, text string")
     assert rows(with_tokens(df, "text", ["id"])) == [(1, 2), (2, 0), (3, 0), (4, token_count("<|endoftext|>", enc))]
 
@@ -75,6 +75,24 @@ def test_pack_frames(spark):
     assert empty.count() == 0 and fill_report(empty, specs).count() == 0 and fill_report(empty, {}).count() == 0
 
 
+def test_the_same_rows_are_packed_alike_however_they_lie(spark):
+    r = random.Random(6)
+    items = [(r.choice([None, i]), r.choice(["a", "b", None]), r.choice([None, i % 50]), r.choice([0, r.randrange(1, 300)])) for i in range(1500)]
+    items += [(5, "a", 1, 9)] * 700  # wholly equal rows
+    frames = [spark.createDataFrame(items, ITEMS), spark.createDataFrame(r.sample(items, len(items)), ITEMS).repartition(7)]
+    a, b = (rows(pack(f, {"s": 512}, shard_items=200)) for f in frames)
+    assert a == b and len({x[1] >> 32 for x in a}) == 11 and len(a) == 2200
+    assert len({x[1] >> 32 for x in a if x[2] == 5}) > 5  # they are not one shard
+
+
+def test_checked_assignment(spark):
+    items = spark.createDataFrame([(1, "a", 1, 10), (2, "a", 2, 1500), (3, None, 3, 0)], ITEMS)
+    good = pack(items, {"s": 512})
+    assert rows(checked_assignment(items, good, {"s": 512})) == [("s", 512, 3, 3, 0)]
+    torn = good.withColumn("tokens", F.when(F.col("doc_id") == 1, 600).otherwise(F.col("tokens")).cast("long"))
+    assert rows(checked_assignment(items, torn, {"s": 512})) == [("s", 512, 3, 2, 1)]
+
+
 def test_specs_and_documents(spark):
     specs = spark.createDataFrame([("a", 10), (None, 5), ("b", None), ("c", 0)], "spec_name string, capacity_tokens int")
     assert read_specs(specs) == {"a": 10}
@@ -135,6 +153,27 @@ def test_a_tiny_source_is_capped_not_binding(spark):
     assert got["b"].most_uses == 3 and got["b"].tokens == 15 and got["a"].tokens > 5000
 
 
+def test_slots_spread_over_the_tasks(spark, monkeypatch):
+    """Slots of two mixes, one with a source of nearly all slots, in at least as many tasks as shuffles have, of about equal size."""
+    plan = [("m", 0, "a", 0, 90_000, 1000, 5), ("m", 0, "b", 0, 10, 7, 6), ("n", 0, "a", 0, 500, 1000, 7)]
+    df = mixing._slots(spark.createDataFrame(plan, "mix_name string, shard long, source string, begin long, n long, blocks long, key long"), 90_510)
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 90_510 and len(sizes) >= int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * 90_510 / len(sizes)
+    assert df.groupBy("mix_name", "source", "slot").count().where("count > 1").count() == 0
+    monkeypatch.setattr(mixing, "SLOTS_PER_TASK", 1000)
+    assert mixing.slot_tasks(spark, 90_510) == 91
+
+
+def test_shares_are_checked(spark):
+    df = spark.createDataFrame([(i, "a", 100) for i in range(500)] + [(1000 + i, "b", 100) for i in range(300)], SIZED)
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.4, 3), ("m", "none", 0.1, 1)], TARGETS)
+    drawn = draw(df, targets).cache()
+    assert rows(checked_shares(shares(drawn, targets, df))) == [("m", "a", 1, True, True, True), ("m", "b", 3, True, True, True), ("m", "none", 1, False, True, True)]
+    bad = drawn.where("source = 'a'").limit(50).unionByName(drawn.where("source = 'b'").unionByName(drawn.where("source = 'b'")).unionByName(drawn.where("source = 'b'")).unionByName(drawn.where("source = 'b'")))
+    wrong = {r.source: r for r in checked_shares(shares(bad, targets, df)).collect()}
+    assert not wrong["a"].near_target and not wrong["b"].within_repeats
+
+
 def test_empty(spark):
     none, targets = spark.createDataFrame([], SIZED), spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS)
     assert draw(none, targets).count() == 0 == draw(none, targets.limit(0)).count()

@@ -4,17 +4,19 @@ Method: quotient filters.  A key's fingerprint of q + r bits is split into a
 quotient and a remainder.  Each task that reads history turns its keys into
 sorted filters, one for each range of quotients (shard): remainders packed to r
 bits, an occupancy bit per quotient and a bit where a run of equal quotients
-ends.  Only these filters are shuffled, a few bytes a key; filters of a shard
-are merged in order of fingerprint, and the incoming keys' fingerprints are
-streamed over the merged filter.  An incoming key is "perhaps seen" if its
-fingerprint is in the filter or an earlier incoming key has it.  A filter never
-misses a key, so only the "perhaps" are checked exactly against the key tables
-on disk; the report gives the share of wrong "perhaps" as measured and as
-derived (keys / 2^(q + r)).
+ends.  These filters are shuffled, a few bytes a key; filters of a shard are
+merged in order of fingerprint, and the incoming keys' fingerprints are streamed
+over the merged filter.  An incoming key is "perhaps seen" if its fingerprint is
+in the filter or an earlier incoming key has it.  A filter never misses a key, so
+only the "perhaps" are checked exactly: history rows are thinned by a bitmap of
+the fingerprints that the filter holds, and only what is left is shuffled to meet
+the keys asked for.  The report gives the share of wrong "perhaps" as measured
+and as derived (keys / 2^(q + r)).
 
 Memory: a shard holds about ``SHARD_KEYS`` keys however many there are.  A hot
-key is one fingerprint per task, and incoming fingerprints are folded to their
-first arrival before they meet the filter.
+history key is one fingerprint per task; incoming rows are folded to one row a
+key (first arrival and number), which meets filter and history, and go back to
+the rows in a join that keeps hot keys apart.
 
 Defined results: incoming rows with a null key are undecided and not reported as
 seen; history rows with a null key are ignored; null scope columns compare as
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvstrata.operators.changes import null_safe_join
+from kvstrata.operators.skew import spread_join, thinned
 from kvstrata.sources.scratch import durable
 
 REMAINDER_BITS = 12
@@ -164,36 +167,42 @@ def probe_filters(filters: DataFrame, prints: DataFrame, q_bits: int, r_bits: in
     return both.mapInArrow(run, "print long, in_filter boolean")
 
 
-def decide(history: DataFrame, incoming: DataFrame, key: list[str], scope: list[str], no: str, r_bits: int = REMAINDER_BITS) -> tuple[DataFrame, int]:
-    """(no, scope, key, perhaps) for every distinct incoming row with a key, and the number of history keys; columns of ``history``: scope, key."""
+def _asked(history: DataFrame, incoming: DataFrame, key: list[str], scope: list[str], no: str, r_bits: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """(history of keys, incoming rows with their fingerprint, facts per incoming key, bits of a fingerprint, history keys)."""
     columns = [*scope, *key]
-    has_key = [F.col(k).isNotNull() for k in key]
-    for condition in has_key:
-        history, incoming = history.where(condition), incoming.where(condition)
-    incoming = incoming.select(no, *columns).distinct()
+    for k in key:
+        history, incoming = history.where(F.col(k).isNotNull()), incoming.where(F.col(k).isNotNull())
+    history, incoming = history.select(*columns), incoming.select(no, *columns).distinct()
     keys = history.agg(F.approx_count_distinct(F.xxhash64(*columns), 0.02)).first()[0]
     q_bits, r_bits, s_bits = filter_shape(int(keys * 1.05) + 1, r_bits)
-    filters = build_filters(history.select(fingerprint(columns, q_bits + r_bits).alias("print")), q_bits, r_bits, s_bits)
-    asked = durable(incoming.withColumn("print", fingerprint(columns, q_bits + r_bits)))
-    first = asked.groupBy("print").agg(F.min(no).alias("first_no"))
-    in_filter = probe_filters(filters, first.select("print"), q_bits, r_bits, s_bits)
-    known = first.join(in_filter, "print")
-    perhaps = (F.col("in_filter") | (F.col("first_no") < F.col(no))).alias("perhaps")
-    return durable(asked.join(known, "print").select(no, *columns, perhaps)).withColumn("derived_rate", F.lit(float(keys) / 2.0 ** (q_bits + r_bits))), keys
+    bits = q_bits + r_bits
+    filters = build_filters(history.select(fingerprint(columns, bits).alias("print")), q_bits, r_bits, s_bits)
+    asked = durable(incoming)
+    facts = durable(asked.groupBy(*columns).agg(F.min(no).alias("first_no"), F.count("*").alias("load")).withColumn("print", fingerprint(columns, bits)))
+    prints = facts.groupBy("print").agg(F.min("first_no").alias("print_no"))
+    known = prints.join(probe_filters(filters, prints.select("print"), q_bits, r_bits, s_bits).hint("merge"), "print")
+    return history, asked, durable(facts.join(known.hint("merge"), "print")), bits, keys
+
+
+def decide(history: DataFrame, incoming: DataFrame, key: list[str], scope: list[str], no: str, r_bits: int = REMAINDER_BITS) -> tuple[DataFrame, int]:
+    """(no, scope, key, perhaps) for every distinct incoming row with a key, and the number of history keys; columns of ``history``: scope, key."""
+    _, asked, facts, _, keys = _asked(history, incoming, key, scope, no, r_bits)
+    rows = spread_join(asked, facts.select(*scope, *key, "in_filter", "print_no", "load"), [*scope, *key], "load", asked.count(), null_safe=True)
+    return rows.select(no, *scope, *key, (F.col("in_filter") | (F.col("print_no") < F.col(no))).alias("perhaps")), keys
 
 
 def seen_before(history: DataFrame, incoming: DataFrame, key: list[str], scope: list[str], no: str, r_bits: int = REMAINDER_BITS) -> DataFrame:
     """(no, scope, key, perhaps, seen, derived_rate): the filter's answer and the exact one, for which only the "perhaps" are looked up."""
-    decided, _ = decide(history, incoming, key, scope, no, r_bits)
+    history, asked, facts, bits, keys = _asked(history, incoming, key, scope, no, r_bits)
     columns = [*scope, *key]
-    perhaps = decided.where("perhaps")
-    wanted = perhaps.select(*columns).distinct()
-    earlier = history.select(*columns).where(F.col(key[0]).isNotNull()).distinct()
-    in_history = null_safe_join(wanted, earlier, columns, "left_semi").select(*columns, F.lit(None).cast("long").alias("first_no"), F.lit(True).alias("old"))
-    arrivals = decided.groupBy(*columns).agg(F.min(no).alias("first_no")).withColumn("old", F.lit(False))
-    known = in_history.unionByName(arrivals).groupBy(*columns).agg(F.min("first_no").alias("first_no"), F.max("old").alias("old"))
-    seen = F.col("perhaps") & (F.col("old") | (F.col("first_no") < F.col(no)))
-    return null_safe_join(decided, known, columns, "inner").select(no, *columns, "perhaps", seen.alias("seen"), "derived_rate")
+    held = facts.where("in_filter")
+    earlier = thinned(history, fingerprint(columns, bits), held, F.col("print"), held.count()).distinct()
+    old = null_safe_join(held, earlier.hint("merge"), columns, "left_semi").select(*columns, F.lit(True).alias("old"))
+    facts = durable(null_safe_join(facts, old.hint("merge"), columns, "left").select(*columns, "in_filter", "print_no", "first_no", F.coalesce("old", F.lit(False)).alias("old"), "load"))
+    rows = spread_join(asked, facts, columns, "load", asked.count(), null_safe=True)
+    perhaps = F.col("in_filter") | (F.col("print_no") < F.col(no))
+    seen = perhaps & (F.col("old") | (F.col("first_no") < F.col(no)))
+    return rows.select(no, *columns, perhaps.alias("perhaps"), seen.alias("seen"), F.lit(float(keys) / 2.0**bits).alias("derived_rate"))
 
 
 def wrong_answers(decided: DataFrame) -> DataFrame:

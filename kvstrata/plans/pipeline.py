@@ -79,6 +79,12 @@ def p3_wrong_answers(spark, d):
     return wrong_answers(_seen(spark, d))
 
 
+def p3_answers(spark, d):
+    """Incoming keys, those seen before, and seen ones that the filter missed (it must miss none), per database and family."""
+    by = _seen(spark, d).groupBy("db_id", "cf")
+    return by.agg(F.count("*").alias("n_incoming"), F.count_if("seen").alias("n_seen"), F.count_if(F.col("seen") & ~F.col("perhaps")).alias("n_missed"))
+
+
 def p4_found(spark, d):
     """Operations and file revisions that no succeeded run has covered."""
     files = table(spark, d, "files").withColumn("file_number", file_number("packed_number_and_path_id"))
@@ -101,7 +107,7 @@ def p5_found(spark, d):
     return keys.unionByName(files)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_outputs, p2_totals, p2_concatenated, p2_unmatched, p3_found, p3_wrong_answers, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_outputs, p2_totals, p2_concatenated, p2_unmatched, p3_found, p3_answers, p3_wrong_answers, p4_found, p5_found)}
 
 _FILE = "(packed_number_and_path_id & 4611686018427387903)"
 
@@ -136,6 +142,10 @@ done AS (SELECT db_id, cf, log_number AS lg, last_sequence AS sq FROM last
          WHERE lower(regexp_replace(status, '^\s+|\s+$', '', 'g')) = 'succeeded' AND log_number IS NOT NULL AND last_sequence IS NOT NULL),
 cov AS (SELECT db_id, cf, lg, sq FROM (SELECT *, row_number() OVER (PARTITION BY db_id, cf ORDER BY lg DESC, sq DESC) AS rn FROM done) x WHERE rn = 1)"""
 
+_ASKED = """p AS (SELECT DISTINCT probe_no, db_id, cf, user_key FROM probe_keys WHERE user_key IS NOT NULL),
+f AS (SELECT *, min(probe_no) OVER (PARTITION BY db_id, cf, user_key) AS first_no FROM p),
+k AS (SELECT DISTINCT db_id, cf, user_key FROM kv_log WHERE user_key IS NOT NULL)"""
+
 ORACLE_SQL = {
     "p1_found": f"WITH {_CHANGES} SELECT DISTINCT ref_table, ref_field, db_id, ref_no FROM found",
     "p1_counts": f"""WITH {_CHANGES},
@@ -151,9 +161,10 @@ FROM n LEFT JOIN m ON m.ref_table = n.ref_table AND m.ref_field = n.ref_field AN
 SELECT DISTINCT db_id, file AS file_number FROM (SELECT *, count(*) OVER (PARTITION BY db_id, cf, file_level) AS n FROM small) x WHERE n > 1""",
     "p2_totals": f"""WITH {_LIVE_FILES}, {_SMALL}
 SELECT db_id, cf, file_level, CAST(count(*) AS BIGINT) AS n_inputs, CAST(sum(file_size) AS BIGINT) AS n_bytes, CAST(sum(num_entries) AS BIGINT) AS n_entries FROM small GROUP BY 1, 2, 3 HAVING count(*) > 1""",
-    "p3_found": """WITH p AS (SELECT DISTINCT probe_no, db_id, cf, user_key FROM probe_keys WHERE user_key IS NOT NULL),
-f AS (SELECT *, min(probe_no) OVER (PARTITION BY db_id, cf, user_key) AS first_no FROM p),
-k AS (SELECT DISTINCT db_id, cf, user_key FROM kv_log WHERE user_key IS NOT NULL)
+    "p3_answers": f"""WITH {_ASKED}
+SELECT f.db_id, f.cf, CAST(count(*) AS BIGINT) AS n_incoming, CAST(count(*) FILTER (WHERE k.user_key IS NOT NULL OR f.first_no < f.probe_no) AS BIGINT) AS n_seen, CAST(0 AS BIGINT) AS n_missed
+FROM f LEFT JOIN k ON k.db_id = f.db_id AND k.cf = f.cf AND k.user_key = f.user_key GROUP BY 1, 2""",
+    "p3_found": f"""WITH {_ASKED}
 SELECT DISTINCT f.probe_no FROM f LEFT JOIN k ON k.db_id = f.db_id AND k.cf = f.cf AND k.user_key = f.user_key WHERE k.user_key IS NOT NULL OR f.first_no < f.probe_no""",
     "p4_found": f"""WITH {_COVERED},
 ops AS (SELECT k.db_id, k.cf, k.seqno FROM kv_log k LEFT JOIN cov c ON c.db_id = k.db_id AND c.cf = k.cf

@@ -10,7 +10,11 @@ an anchor with it and to no others, and their matching statistics give the
 maximal spans.  Hence nothing is sent to all executors, and no link is lost.
 
 Skew.  Exact copies are folded into one representative before anything else and
-expanded at the end.  An anchor that stands in many texts (a formula shorter
+expanded at the end, members of a large class or texts of a common window in
+blocks of ``PAIR_BLOCK``, so that no task makes all pairs of one group.  Rows of a
+hot anchor, digest or reference text are kept apart from the shuffle of the others,
+and texts are thinned by bitmaps of the ids asked for before they are shuffled; no
+side that grows is broadcast.  An anchor that stands in many texts (a formula shorter
 than ``min_len``, say) is split by the text of its full windows: every window
 of ``min_len`` code points around it becomes an anchor of its own, so that only
 texts that do share a whole window meet; for spans these meet in a star around
@@ -28,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.sources.scratch import bounded_broadcast, durable
+from kvstrata.operators.skew import may_be_in, spread_join, thinned
+from kvstrata.sources.scratch import durable
 
 #: Length of the anchors; passages of MIN_LEN have MIN_LEN - ANCHOR + 1 of them to choose from.
 ANCHOR = 100
@@ -40,8 +45,8 @@ MIN_LEN = 200
 HOT_ANCHOR = 16
 #: Streams of one reference text that one task takes.
 STREAMS_PER_TASK = 512
-#: Ids (16 bytes with overhead some 50) that may be broadcast.
-BROADCAST_IDS = 200_000
+#: Texts of one group that one task pairs with all others of the group.
+PAIR_BLOCK = 256
 #: Code points hashed at once (arrays stay in the CPU's cache), and the largest piece of a long text.
 CHUNK, PIECE = 1 << 15, 1 << 20
 
@@ -145,9 +150,18 @@ def extract_anchors(docs: DataFrame, k: int = ANCHOR, min_len: int = MIN_LEN) ->
     return docs.select("doc", "text").mapInArrow(run, "h long, doc long, pos int")
 
 
+def _hash(column: str):
+    return F.xxhash64(column)
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` thinned to the texts whose id may be in the stored table ``wanted``, before they are shuffled to it."""
+    return thinned(docs, _hash("doc"), wanted, _hash("doc"), wanted.count())
+
+
 def _windows_around(docs: DataFrame, hot: DataFrame, k: int, min_len: int) -> DataFrame:
     """(h, doc, pos): the full windows around hot anchors, as anchors of their own."""
-    at = hot.groupBy("doc").agg(F.collect_set("pos").alias("at"))
+    at = durable(hot.groupBy("doc").agg(F.collect_set("pos").alias("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +176,7 @@ def _windows_around(docs: DataFrame, hot: DataFrame, k: int, min_len: int) -> Da
                 pos = np.flatnonzero(wanted)
                 yield pa.RecordBatch.from_arrays([pa.array(h[pos]), pa.array(np.full(len(pos), doc, np.int64)), pa.array(pos.astype(np.int32))], names=["h", "doc", "pos"])
 
-    return docs.join(at, "doc").select("doc", "text", "at").mapInArrow(run, "h long, doc long, pos int")
+    return _texts_of(docs, at).join(at.hint("merge"), "doc").select("doc", "text", "at").mapInArrow(run, "h long, doc long, pos int")
 
 
 class SuffixAutomaton:
@@ -229,20 +243,32 @@ class SuffixAutomaton:
 
 def copy_classes(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """(doc, rep) for every text of ``min_len`` or more code points that has exact copies; rep is the least id of them."""
-    hashed = docs.where(F.char_length("text") >= min_len).select("doc", F.md5("text").alias("digest"), F.char_length("text").alias("n"))
-    classes = hashed.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.max("doc").alias("top")).where("rep < top").drop("top")
-    return hashed.join(classes, ["digest", "n"]).select("doc", "rep").distinct()
+    hashed = durable(docs.where(F.char_length("text") >= min_len).select("doc", F.md5("text").alias("digest"), F.char_length("text").alias("n")))
+    classes = hashed.groupBy("digest", "n").agg(F.count("*").alias("load"), F.min("doc").alias("rep"), F.max("doc").alias("top")).where("rep < top").drop("top")
+    return spread_join(hashed, durable(classes), ["digest", "n"], "load", hashed.count()).select("doc", "rep").distinct()
 
 
-def _shared(anchors: DataFrame) -> DataFrame:
-    """(h, n): anchors that stand in two texts or more, with the number of their places."""
-    return anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "n")
+def _met(anchors: DataFrame) -> DataFrame:
+    """(h, doc, pos, n): the stored ``anchors`` that stand in two texts or more, with the number of their places."""
+    groups = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    shared = durable(groups.where("lo < hi").select("h", "n", F.col("n").alias("load")))
+    count, places = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = durable(thinned(anchors, F.col("h"), shared, F.col("h"), count))
+    return durable(spread_join(rows, shared, ["h"], "load", places))
+
+
+def _blocks(n: Column) -> Column:
+    """Numbers of the blocks that a group of n texts is dealt to."""
+    return F.sequence(F.lit(0).cast("long"), F.ceil(n / PAIR_BLOCK) - 1)
 
 
 def _pairs_by(anchors: DataFrame) -> DataFrame:
-    """(ref, doc, pos_ref, pos_doc), ref < doc: places of one anchor in two texts."""
-    other = anchors.select("h", F.col("doc").alias("d2"), F.col("pos").alias("p2"))
-    return anchors.join(other, "h").where("doc < d2").select(F.col("doc").alias("ref"), F.col("d2").alias("doc"), F.col("pos").alias("pos_ref"), F.col("p2").alias("pos_doc"))
+    """(ref, doc, pos_ref, pos_doc), ref < doc: places of one anchor in two texts, from anchors (h, doc, pos, n) with n places.
+
+    The texts of an anchor are dealt to blocks; each block meets all of them in a task of its own."""
+    left = anchors.select("h", "doc", "pos", F.explode(_blocks(F.col("n"))).alias("block"))
+    other = anchors.select("h", F.pmod(_hash("doc"), F.ceil(F.col("n") / PAIR_BLOCK)).alias("block"), F.col("doc").alias("d2"), F.col("pos").alias("p2"))
+    return left.join(other.hint("merge"), ["h", "block"]).where("doc < d2").select(F.col("doc").alias("ref"), F.col("d2").alias("doc"), F.col("pos").alias("pos_ref"), F.col("p2").alias("pos_doc"))
 
 
 def _window_candidates(wide: DataFrame, both: bool) -> DataFrame:
@@ -254,26 +280,32 @@ def _window_candidates(wide: DataFrame, both: bool) -> DataFrame:
     first = wide.groupBy("h", "doc").agg(F.min("pos").alias("pos"))
     if not both:
         sets = first.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
-        return _pairs_by(first.join(sets.groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h"), "h"))
-    low = first.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("low"))
-    rest = first.join(low, "h").where("doc > low.doc")
-    second = rest.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("second"))
-    star = wide.join(low, "h").where("doc > low.doc").select(F.col("low.doc").alias("ref"), "doc", F.col("low.pos").alias("pos_ref"), F.col("pos").alias("pos_doc"))
-    centre = wide.join(low, "h").where("doc = low.doc").join(second, "h").select(F.col("second.doc").alias("ref"), "doc", F.col("second.pos").alias("pos_ref"), F.col("pos").alias("pos_doc"))
-    return star.unionByName(centre)
+        one = durable(sets.groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h", "n", F.col("n").alias("load")))
+        places = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return _pairs_by(durable(spread_join(durable(first), one, ["h"], "load", places)))
+    low = first.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("low"), F.count("*").alias("load"))
+    second = _centred(first, durable(low)).where("doc > low.doc").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("second"))
+    stars = durable(low.join(second.hint("merge"), "h"))
+    near = _centred(wide, stars)
+    centre = F.when(F.col("doc") > F.col("low.doc"), F.col("low")).otherwise(F.col("second"))
+    return near.select(centre["doc"].alias("ref"), "doc", centre["pos"].alias("pos_ref"), F.col("pos").alias("pos_doc"))
+
+
+def _centred(places: DataFrame, centres: DataFrame) -> DataFrame:
+    """``places`` with the centre of their window; windows of many texts are kept apart."""
+    stored = durable(places)
+    return spread_join(stored, centres, ["h"], "load", stored.count())
 
 
 def _candidates(docs: DataFrame, k: int, min_len: int, hot_anchor: int, both: bool) -> DataFrame:
     """(ref, doc, pos_ref, pos_doc): what to stream over what, and where they share an anchor; each pair one way or ``both``."""
-    anchors = durable(extract_anchors(docs, k, min_len))
-    met = durable(anchors.join(_shared(anchors), "h"))
-    found = _pairs_by(met.where(F.col("n") <= hot_anchor).select("h", "doc", "pos"))
+    met = _met(durable(extract_anchors(docs, k, min_len)))
+    found = _pairs_by(met.where(F.col("n") <= hot_anchor))
     if both:
         found = found.unionByName(found.select(F.col("doc").alias("ref"), F.col("ref").alias("doc"), F.col("pos_doc").alias("pos_ref"), F.col("pos_ref").alias("pos_doc")))
     hot = met.where(F.col("n") > hot_anchor).select("doc", "pos")
     if not hot.isEmpty():
-        windows = durable(_windows_around(docs, hot, k, min_len))
-        wide = durable(windows.join(_shared(windows), "h").select("h", "doc", "pos"))
+        wide = _met(durable(_windows_around(docs, hot, k, min_len))).select("h", "doc", "pos")
         found = found.unionByName(_window_candidates(wide, both))
     return found
 
@@ -338,43 +370,59 @@ def _verified(docs: DataFrame, candidates: DataFrame, k: int, min_len: int, ever
     """(ref, doc, start, end): spans of doc that stand in ref, for the candidates; all of them or one of each pair."""
     pairs = durable(candidates.groupBy("ref", "doc").agg(F.collect_set("pos_ref").alias("pr"), F.collect_set("pos_doc").alias("pd")))
     merged = _merge_segments(min_len - k, min_len)
-    loads = pairs.groupBy("ref").agg(F.ceil(F.count("*") / STREAMS_PER_TASK).cast("int").alias("salts"))
-    salted = pairs.join(loads, "ref").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
+    loads = durable(pairs.groupBy("ref").agg(F.count("*").alias("load"), F.ceil(F.count("*") / STREAMS_PER_TASK).cast("int").alias("salts")))
+    salted = spread_join(pairs, loads, ["ref"], "load", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
     streams = salted.select("ref", "salt", F.lit(1).alias("role"), "doc", merged("pd").alias("segments"))
     places = salted.select("ref", "salt", F.explode("pr").alias("p")).groupBy("ref", "salt").agg(F.collect_set("p").alias("p"))
     refs = places.select("ref", "salt", F.lit(0).alias("role"), F.col("ref").alias("doc"), merged("p").alias("segments"))
     parts = durable(streams.unionByName(refs).select("ref", "salt", "role", "doc", F.explode("segments").alias("s")).select("ref", "salt", "role", "doc", "s.at", "s.n"))
-    wanted = parts.select("doc").distinct()
-    few = docs.join(bounded_broadcast(wanted, wanted.count(), BROADCAST_IDS), "doc", "left_semi")
-    rows = parts.join(few, "doc").select("ref", "salt", "role", "doc", "at", F.expr("substring(text, at + 1, n)").alias("seg"))
+    rows = parts.hint("merge").join(_texts_of(docs, durable(parts.select("doc").distinct())), "doc").select("ref", "salt", "role", "doc", "at", F.expr("substring(text, at + 1, n)").alias("seg"))
     return _match(rows, min_len, not every)
 
 
 def _prepared(documents: DataFrame, id_col: str, text_col: str, min_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull() & (F.char_length("text") >= min_len))
     copies = durable(copy_classes(docs, min_len))
-    spare = copies.where("doc <> rep").select("doc")
-    return docs, copies, docs.join(bounded_broadcast(spare, spare.count(), BROADCAST_IDS), "doc", "left_anti")
+    spare = durable(copies.where("doc <> rep").select("doc"))
+    marked = may_be_in(docs, _hash("doc"), spare, _hash("doc"), spare.count())
+    single = marked.where("NOT _may").unionByName(marked.where("_may").join(spare.hint("merge"), "doc", "left_anti")).drop("_may")
+    return docs, copies, single
+
+
+def _members(copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rep, size), (rep, block, member)): the classes of copies, their members dealt to blocks."""
+    sizes = durable(copies.groupBy("rep").agg(F.count("*").alias("size")))
+    stored = sizes.withColumn("load", F.col("size"))
+    dealt = spread_join(copies, stored, ["rep"], "load", copies.count()).select("rep", F.pmod(_hash("doc"), F.ceil(F.col("size") / PAIR_BLOCK)).alias("block"), F.col("doc").alias("member"))
+    return sizes, durable(dealt)
+
+
+def _expanded(rows: DataFrame, column: str, sizes: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` once for every member of the class that ``column`` represents; members of a large class join in blocks."""
+    held = rows.join(sizes.select(F.col("rep").alias(column), "size").hint("merge"), column, "left")
+    alone = held.where("size IS NULL").drop("size")
+    classes = held.where("size IS NOT NULL").withColumn("block", F.explode(_blocks(F.col("size")))).drop("size")
+    met = classes.join(members.withColumnRenamed("rep", column).hint("merge"), [column, "block"])
+    return alone.unionByName(met.withColumn(column, F.col("member")).select(alone.columns))
 
 
 def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, k: int = ANCHOR, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of texts that share a passage of ``min_len`` or more code points."""
     _, copies, single = _prepared(documents, id_col, text_col, min_len)
-    found = _verified(single, _candidates(single, k, min_len, hot_anchor, both=False), k, min_len, every=False).select(F.col("ref").alias("a"), F.col("doc").alias("b"))
-    members = copies.select(F.col("rep").alias("r"), F.col("doc").alias("m"))
+    found = durable(_verified(single, _candidates(single, k, min_len, hot_anchor, both=False), k, min_len, every=False).select(F.col("ref").alias("a"), F.col("doc").alias("b")))
+    sizes, members = _members(copies)
+    inside = sizes.select(F.col("rep").alias("a"), F.col("rep").alias("b"))  # a class shares its text with itself
     for side in ("a", "b"):
-        found = found.join(members.withColumnRenamed("r", side), side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
-    inside = copies.alias("x").join(copies.alias("y"), "rep").where("x.doc < y.doc").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    return found.unionByName(inside).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
+        found, inside = (_expanded(x, side, sizes, members) for x in (found, inside))
+    return found.unionByName(inside.where("a < b")).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
 
 
 def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, k: int = ANCHOR, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """(doc, start, end): the merged spans of each text that also stand in another text, in passages of ``min_len`` or more."""
     docs, copies, single = _prepared(documents, id_col, text_col, min_len)
     spans = _verified(single, _candidates(single, k, min_len, hot_anchor, both=True), k, min_len, every=True).select("doc", "start", "end")
-    members = copies.select(F.col("rep").alias("doc"), F.col("doc").alias("m"))
-    spans = spans.join(members, "doc", "left").select(F.coalesce("m", "doc").alias("doc"), "start", "end")
-    whole = docs.join(copies.select("doc"), "doc", "left_semi").select("doc", F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end"))
+    spans = _expanded(spans, "doc", *_members(copies))
+    whole = docs.select("doc", F.char_length("text").cast("long").alias("end")).join(copies.select("doc").hint("merge"), "doc", "left_semi").select("doc", F.lit(0).cast("long").alias("start"), "end")
     return merge_spans(spans.unionByName(whole))
 
 
@@ -393,15 +441,17 @@ def shared_share(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per text id: its code points, those in passages that stand elsewhere too, and their share (0 for null or empty texts)."""
     held = shared_spans(documents, id_col, text_col, min_len).groupBy("doc").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("n_chars")).where("doc_id IS NOT NULL")
-    out = docs.join(held, docs.doc_id == held.doc, "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0).cast("long")))
+    out = docs.join(held.hint("merge"), docs.doc_id == held.doc, "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0).cast("long")))
     return out.select("doc_id", "n_chars", "shared_chars", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(F.lit(0.0)).alias("shared_share"))
 
 
 def remove_spans(documents: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with the given merged spans (doc, start, end) cut from the text; texts without spans stay as they are."""
-    cuts = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    cuts = durable(spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts")))
     kept = """aggregate(_cuts, struct('' AS t, CAST(0 AS BIGINT) AS p),
               (s, c) -> struct(s.t || substring(_text, CAST(s.p + 1 AS INT), CAST(c.start - s.p AS INT)) AS t, c.end AS p),
               s -> s.t || substring(_text, CAST(s.p + 1 AS INT)))"""
-    out = documents.withColumn("_text", F.col(text_col)).join(cuts.withColumnRenamed("doc", "_doc"), F.col(id_col) == F.col("_doc"), "left")
-    return out.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col("_text")).otherwise(F.expr(kept))).drop("_text", "_doc", "_cuts")
+    marked = may_be_in(documents, F.xxhash64(F.col(id_col).cast("long")), cuts, F.xxhash64("doc"), cuts.count(), "_cut")
+    out = marked.where("_cut").withColumn("_text", F.col(text_col)).join(cuts.withColumnRenamed("doc", "_doc").hint("merge"), F.col(id_col) == F.col("_doc"), "left")
+    out = out.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col("_text")).otherwise(F.expr(kept))).drop("_text", "_doc", "_cuts")
+    return out.unionByName(marked.where("NOT _cut")).drop("_cut")

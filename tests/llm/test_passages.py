@@ -117,6 +117,19 @@ def test_long_texts_are_cut_into_overlapping_pieces(spark, monkeypatch):
     assert rows(shared_pairs(spark.createDataFrame(docs, DOCS))) == [(1, d) for d, _ in docs[1:-1]]
 
 
+def test_a_large_class_is_paired_in_blocks(spark, monkeypatch):
+    """40 copies of one text and 30 texts with one passage, in blocks of 8: all pairs, and no block meets more than 8 of a group at once."""
+    monkeypatch.setattr(passages, "PAIR_BLOCK", 8)
+    r = random.Random(12)
+    twin, common = text(r, 300), text(r, 220)
+    docs = [(i, twin) for i in range(40)] + [(100 + i, text(r, 60) + common + text(r, 60)) for i in range(30)] + [(200, twin[:250] + common)]
+    got = rows(shared_pairs(spark.createDataFrame(docs, DOCS)))
+    assert got == brute_pairs(docs, 200)
+    copies = spark.createDataFrame([(i, 0) for i in range(40)], "doc long, rep long")
+    _, members = passages._members(copies)
+    assert members.count() == 40 and max(x["count"] for x in members.groupBy("rep", "block").count().collect()) <= 16 and members.select("block").distinct().count() == 5
+
+
 def test_a_formula_in_all_texts_makes_no_pairs(spark):
     r = random.Random(10)
     formula = text(r, 150)

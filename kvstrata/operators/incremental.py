@@ -2,71 +2,80 @@
 
 Method: a Merkle tree over key ranges.  A leaf is a range of keys of one part of
 the data; its digest covers all its rows.  Digests are folded map-side, so only
-one row per leaf is shuffled.  The digests of a node's children make its own.
-The tree of the data as it is and the saved tree are compared from the root
-down; only below nodes that differ are children looked at, and only rows of
-leaves that differ are read further.  ``IncrementalTable`` keeps the saved tree:
-output and tree of a run lie in one version folder, and one rename of a pointer
-file publishes both, so a run that fails leaves the earlier state in force, and
-its records come again in the next run.
-
-Defined results: null keys form a leaf of their own (-1); rows of one key that
-repeat exactly count once each in the digest, so dropping a repeat is a change
-of the leaf but yields no changed record.
+one row per leaf is shuffled; the digest of an inner node is folded from those of
+its leaves.  ``IncrementalTable`` keeps the tree of the last published run.  A run
+makes the tree of the data as it is and compares it with the saved one from the
+root down: only below nodes that differ are children looked at, where nothing
+differs the descent ends, and only rows of leaves that differ are read further
+and compared with the records saved for these leaves.
+
+Output and tree of a run are written beside those of the run before, and one
+rename of a pointer file publishes both.  So a run that fails leaves the earlier
+state in force, and its records come again in the next run.  What a run writes
+follows the change: records are saved for its changed leaves only, and the tree
+tells for every leaf which version holds its records.
+
+Where earlier runs kept no tree but a ledger of positions, ``adopt`` publishes
+the tree and records of the rows that the ledger says are done as the first
+version.
+
+Defined results: null keys form a leaf of their own (-1); repeated rows count in
+the digest, so dropping a repeat is a change of the leaf but yields no changed
+record; a null database, family or log number, and a null sequence number in the
+log that was reached, is covered by nothing.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.operators.changes import null_safe_join
+from kvstrata.operators.skew import thinned
 from kvstrata.sources.pointer import Pointer
 from kvstrata.sources.scratch import bounded_broadcast, durable
 
-FANOUT_BITS = 4
-#: Covered positions, or changed leaves, of a few numbers each that may be broadcast.
+FANOUT_BITS = 5
+#: Covered positions, of four numbers each, that may be broadcast (some 10 MB).
 BROADCAST_ROWS = 200_000
 
+_TREE = "part long, level int, node long, digest long, at int"
+
 
-def leaf_digests(rows: DataFrame, part: str, leaf: str, row_hash: Column, counted: Column | None = None) -> DataFrame:
-    """(part, leaf, digest) over the rows for which ``counted`` is true."""
-    h = F.when(counted, row_hash) if counted is not None else row_hash
-    folded = rows.groupBy(part, leaf).agg(F.count(h).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))
+def leaf_digests(rows: DataFrame, part: str, leaf: str, row_hash: Column) -> DataFrame:
+    """(part, leaf, digest) of rows."""
+    folded = rows.groupBy(part, leaf).agg(F.count(row_hash).alias("n"), F.bit_xor(row_hash).alias("x"), F.sum(row_hash.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))
     return folded.select(F.col(part).alias("part"), F.col(leaf).alias("leaf"), F.xxhash64("n", F.coalesce("x", F.lit(0)), F.coalesce("s", F.lit(0))).alias("digest"))
 
 
-def _level(leaves: DataFrame, level: int) -> DataFrame:
-    """(part, node, digest) of one level; level 0 are the leaves."""
+def tree_of(leaves: DataFrame) -> DataFrame:
+    """(part, level, node, digest): the whole tree over leaves (part, leaf, digest), in one pass; level 0 are the leaves."""
+    top = leaves.agg(F.max("leaf")).first()[0] or 0
+    levels = max(1, -(-int(top).bit_length() // FANOUT_BITS))
+    each = leaves.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(1, levels + 1)])))
     h = F.xxhash64("leaf", "digest")
-    if level == 0:
-        return leaves.select("part", F.col("leaf").alias("node"), "digest")
-    up = leaves.groupBy("part", F.shiftright("leaf", level * FANOUT_BITS).alias("node"))
-    return up.agg(F.xxhash64(F.count(h), F.bit_xor(h), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).alias("digest"))
-
+    up = each.groupBy("part", "level", F.expr(f"shiftright(leaf, level * {FANOUT_BITS})").alias("node"))
+    inner = up.agg(F.xxhash64(F.count(h), F.bit_xor(h), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).alias("digest"))
+    return leaves.select("part", F.lit(0).alias("level"), F.col("leaf").alias("node"), "digest").unionByName(inner.select("part", "level", "node", "digest"))
 
-def changed_leaves(current: DataFrame, saved: DataFrame) -> DataFrame:
-    """(part, leaf) of the leaves (part, leaf, digest) that differ between two trees, found by descent from the root.
 
-    Both trees are read once per level, so they should be stored tables."""
-    top = max(x.agg(F.max("leaf")).first()[0] or 0 for x in (current, saved))
-    levels = max(1, -(-int(top).bit_length() // FANOUT_BITS))
+def changed_leaves(current: DataFrame, saved: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The leaves (part, leaf) that differ between two stored trees (part, level, node, digest), found by descent from the root, and the levels that were compared."""
+    top = max(x.agg(F.max("level")).first()[0] or 0 for x in (current, saved))
     open_nodes: DataFrame | None = None
-    for level in sorted({levels, levels // 2, 0}, reverse=True):
-        now, then = _level(current, level), _level(saved, level)
+    looked = []
+    for level in range(top, -1, -1):
+        now, then = (x.where(F.col("level") == level) for x in (current, saved))
         if open_nodes is not None:
-            step = (before - level) * FANOUT_BITS
-            keep = open_nodes.withColumnRenamed("node", "up")
-            now, then = (x.join(keep, (x.part == keep.part) & (F.shiftright(x.node, step) == keep.up), "left_semi") for x in (now, then))
+            keep = open_nodes.select(F.col("part").alias("_p"), F.col("node").alias("_up"))
+            now, then = (x.join(keep.hint("merge"), (x.part == F.col("_p")) & (F.shiftright(x.node, FANOUT_BITS) == F.col("_up")), "left_semi") for x in (now, then))
         then = then.select(F.col("part").alias("p2"), F.col("node").alias("n2"), F.col("digest").alias("d2"))
-        both = now.join(then, (now.part == then.p2) & (now.node == then.n2), "full_outer")
-        open_nodes = both.where(~F.col("digest").eqNullSafe(F.col("d2"))).select(F.coalesce("part", "p2").alias("part"), F.coalesce("node", "n2").alias("node"))
-        open_nodes = durable(open_nodes) if level else open_nodes
-        before = level
-    return open_nodes.withColumnRenamed("node", "leaf")
+        both = now.select("part", "node", "digest").join(then.hint("merge"), (F.col("part") == F.col("p2")) & (F.col("node") == F.col("n2")), "full_outer")
+        open_nodes = durable(both.where(~F.col("digest").eqNullSafe(F.col("d2"))).select(F.coalesce("part", "p2").alias("part"), F.coalesce("node", "n2").alias("node")))
+        looked.append(level)
+        if open_nodes.isEmpty():
+            break
+    return open_nodes.withColumnRenamed("node", "leaf"), looked
 
 
 def covered_positions(ingest_runs: DataFrame) -> DataFrame:
@@ -81,88 +90,107 @@ def covered_positions(ingest_runs: DataFrame) -> DataFrame:
     return done.groupBy("db_id", "cf").agg(F.max(F.struct(F.col("r.log_number").alias("log"), F.col("r.last_sequence").alias("seq"))).alias("p")).select("db_id", "cf", "p.log", "p.seq")
 
 
-@dataclass(frozen=True)
-class Source:
-    """Rows with db_id and cf whose records (key columns) have positions (log, seq); ``leaf`` is a long expression over these columns that orders the records into leaves."""
-
-    name: str
-    rows: DataFrame
-    record: list[str]
-    log: str
-    seq: str
-    leaf: Column
-
-
-def uncovered(sources: list[Source], covered: DataFrame) -> list[DataFrame]:
-    """Per source (record, record_cf): the records none of whose rows lies at or below the covered position of its database and family.
-
-    One tree over all sources: the saved one holds the rows covered so far, the
-    current one all rows.  ``covered`` should be a stored table.  Rows with a null position, database or family are
-    covered by nothing."""
-    seen = covered.select(F.col("db_id").alias("_db"), F.col("cf").alias("_cf"), F.col("log").alias("_log"), F.col("seq").alias("_seq"))
-    seen = bounded_broadcast(seen, covered.count(), BROADCAST_ROWS)
-    marked, leaves = [], []
-    for s in sources:
-        rows = s.rows.select(*dict.fromkeys([*s.record, "db_id", "cf", s.log, s.seq]))
-        rows = rows.join(seen, (rows.db_id == seen._db) & (rows.cf == seen._cf), "left")
-        below = (F.col(s.log) < F.col("_log")) | ((F.col(s.log) == F.col("_log")) & (F.col(s.seq) <= F.col("_seq")))
-        rows = rows.withColumn("_covered", F.coalesce(below, F.lit(False))).withColumn("_part", F.xxhash64(F.lit(s.name), "db_id", "cf")).withColumn("_leaf", F.coalesce(s.leaf, F.lit(-1).cast("long")))
-        h = F.xxhash64(*s.record, s.log, s.seq)
-        digests = []
-        for mark, counted in (("", h), ("2", F.when(F.col("_covered"), h))):
-            digests += [F.count(counted).alias(f"n{mark}"), F.bit_xor(counted).alias(f"x{mark}"), F.sum(counted.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"s{mark}")]
-        marked.append(rows)
-        leaves.append(rows.groupBy("_part", "_leaf").agg(*digests))
-    stored = durable(reduce(lambda x, y: x.unionByName(y), leaves))
-    current, saved = (stored.where(F.col(f"n{m}") > 0).select(F.col("_part").alias("part"), F.col("_leaf").alias("leaf"), F.xxhash64(f"n{m}", f"x{m}", f"s{m}").alias("digest")) for m in ("", "2"))
-    open_leaves = durable(changed_leaves(current, saved).select(F.col("part").alias("_part"), F.col("leaf").alias("_leaf")))
-    open_leaves = bounded_broadcast(open_leaves, open_leaves.count(), BROADCAST_ROWS)
-    out = []
-    for s, rows in zip(sources, marked):
-        fresh = rows.join(open_leaves, ["_part", "_leaf"], "left_semi")
-        out.append(fresh.groupBy(*s.record).agg(F.max("_covered").alias("_any"), F.max("cf").alias("record_cf")).where("NOT _any").select(*s.record, "record_cf"))
-    return out
+def covered_rows(rows: DataFrame, covered: DataFrame, log: str, seq: str) -> DataFrame:
+    """The rows (db_id, cf, log, seq, ...) at or below the covered position of their database and family; ``covered`` should be a stored table."""
+    done = covered.select(F.col("db_id").alias("_db"), F.col("cf").alias("_cf"), F.col("log").alias("_log"), F.col("seq").alias("_seq"))
+    done = bounded_broadcast(done, covered.count(), BROADCAST_ROWS)
+    below = (F.col(log) < F.col("_log")) | ((F.col(log) == F.col("_log")) & (F.col(seq) <= F.col("_seq")))
+    return rows.join(done, (F.col("db_id") == F.col("_db")) & (F.col("cf") == F.col("_cf"))).where(below).drop("_db", "_cf", "_log", "_seq")
 
 
 class IncrementalTable:
-    """State of an incremental consumer in a shared folder: ``versions/N/{output,rows,tree}`` and the pointer ``CURRENT``.
-
-    ``key`` identifies a record, ``range_of`` is a long Column that orders keys
-    into leaves of ``leaf_width`` values."""
-
-    def __init__(self, spark: SparkSession, root: str, key: list[str], range_of: Column, leaf_width: int = 1024):
-        self.spark, self.root, self.key, self.range_of, self.leaf_width = spark, root.rstrip("/"), key, range_of, leaf_width
+    """State of an incremental consumer in a shared folder: ``versions/N/{output,tree}``, ``records/at=N`` and the pointer ``CURRENT``.
+
+    ``key`` identifies a record.  ``range_of`` is a long Column over the key that
+    orders records into leaves of ``leaf_width`` values, ``part`` a long Column over
+    the key that says which subtree a record belongs to.  With ``by_key`` a record
+    whose key was saved is done, whatever else its rows hold; otherwise it comes
+    again when any column has changed, and keys that are gone are reported."""
+
+    def __init__(self, spark: SparkSession, root: str, key: list[str], range_of: Column, leaf_width: int = 1024, part: Column | None = None, by_key: bool = False):
+        self.spark, self.root, self.key, self.by_key = spark, root.rstrip("/"), key, by_key
+        self._leaf = F.coalesce(F.floor(range_of / leaf_width).cast("long"), F.lit(-1).cast("long"))
+        self._part = F.lit(0).cast("long") if part is None else part
         self._pointer = Pointer(spark, f"{self.root}/CURRENT")
+        #: Levels of the tree that the last run compared, from the top; 0 are the leaves.
+        self.levels_read: list[int] = []
 
     def version(self) -> int:
         """Number of the published version; 0 before the first run."""
         return (self._pointer.read() or {"version": 0})["version"]
 
-    def _hashed(self, rows: DataFrame) -> DataFrame:
-        leaf = F.coalesce(F.floor(self.range_of / self.leaf_width).cast("long"), F.lit(-1).cast("long"))
-        return rows.withColumn("_part", F.lit(0)).withColumn("_leaf", leaf).withColumn("_hash", F.xxhash64(*[F.struct(F.col(c), F.col(c).isNull()) for c in rows.columns]))
+    def _saved_tree(self, at: int) -> DataFrame:
+        return self.spark.read.schema(_TREE).parquet(f"{self.root}/versions/{at}/tree") if at else self.spark.createDataFrame([], _TREE)
+
+    def _marked(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_part", self._part).withColumn("_leaf", self._leaf).withColumn("_hash", F.xxhash64(*[F.struct(F.col(c), F.col(c).isNull()) for c in rows.columns]))
+
+    def _placed(self, rows: DataFrame, open_leaves: DataFrame, n: int) -> DataFrame:
+        """The rows of open leaves, and of a few others whose bit is set by chance (for saved and new rows alike, so they compare as equal)."""
+        return thinned(rows, F.xxhash64("_part", "_leaf"), open_leaves, F.xxhash64("part", "leaf"), n)
+
+    def _saved_records(self, at: int, saved: DataFrame, open_leaves: DataFrame, n: int) -> DataFrame:
+        """The records that the published version holds for the open leaves: (key, _hash)."""
+        leaves = saved.where("level = 0")
+        versions = [r[0] for r in leaves.select("at").distinct().collect()]  # one number per published version at most
+        if not versions:
+            return self.spark.createDataFrame([], self._record_schema)
+        records = self.spark.read.schema(self._record_schema + ", at int").option("basePath", f"{self.root}/records").parquet(*[f"{self.root}/records/at={v}" for v in versions])
+        held = self._placed(records.withColumn("_part", self._part).withColumn("_leaf", self._leaf), open_leaves, n)
+        if versions != [1]:  # a leaf that was saved again leaves older records behind
+            now = leaves.select(F.col("part").alias("_p"), F.col("node").alias("_n"), F.col("at").alias("_a"))
+            held = held.join(now.hint("merge"), (F.col("_part") == F.col("_p")) & (F.col("_leaf") == F.col("_n")) & (F.col("at") == F.col("_a")), "left_semi")
+        return held.select(*self.key, *([] if self.by_key else ["_hash"]))
+
+    def _publish(self, at: int, now: DataFrame, tree: DataFrame, saved: DataFrame, open_leaves: DataFrame) -> None:
+        """Save the records of the open leaves and the tree, then rename."""
+        cols = [*self.key, *([] if self.by_key else ["_hash"])]
+        now.select(cols).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/records/at={at}")
+        before = saved.where("level = 0").select(F.col("part").alias("_p"), F.col("node").alias("_n"), F.col("at").alias("_at"))
+        fresh = open_leaves.select(F.col("part").alias("_p"), F.col("leaf").alias("_n"), F.lit(at).alias("_new"))
+        same = (F.col("part") == F.col("_p")) & (F.col("node") == F.col("_n"))
+        leaves = tree.where("level = 0").join(before.hint("merge"), same, "left").drop("_p", "_n").join(fresh.hint("merge"), same, "left")
+        marked = leaves.select("part", "level", "node", "digest", F.coalesce("_new", "_at", F.lit(at)).cast("int").alias("at"))
+        whole = marked.unionByName(tree.where("level > 0").withColumn("at", F.lit(None).cast("int")))
+        whole.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/versions/{at}/tree")
+        self._pointer.publish({"version": at})
+
+    def _describe(self, rows: DataFrame) -> None:
+        kinds = dict(rows.dtypes)
+        self._record_schema = ", ".join(f"`{k}` {kinds[k]}" for k in self.key) + ("" if self.by_key else ", _hash long")
+
+    def adopt(self, rows: DataFrame) -> None:
+        """Publish the state in which ``rows`` are done, as earlier runs without a tree left it; the first version, without output."""
+        if self.version():
+            raise ValueError("there is a published version")
+        self._describe(rows)
+        marked = self._marked(rows)
+        leaves = durable(leaf_digests(marked, "_part", "_leaf", F.col("_hash")))
+        none = leaves.select("part", "leaf").limit(0)
+        self._publish(1, marked, tree_of(leaves), self._saved_tree(0), none)
 
     def run(self, rows: DataFrame, publish: bool = True) -> DataFrame:
-        """Records of ``rows`` that are new or changed, and keys that are gone, with column ``_change`` (upsert or delete); published with the tree unless told not to."""
+        """Records of ``rows`` that are new or changed, with column ``_change`` (upsert, or delete for keys that are gone); published with the tree unless told not to."""
+        self._describe(rows)
         at = self.version()
-        hashed = durable(self._hashed(rows))
-        tree = durable(leaf_digests(hashed, "_part", "_leaf", F.col("_hash")))
-        kept = ["_leaf", "_hash", *self.key]
-        if at:
-            base = f"{self.root}/versions/{at}"
-            open_leaves = durable(changed_leaves(tree, self.spark.read.parquet(f"{base}/tree"))).select(F.col("leaf").alias("_leaf"))
-            old = self.spark.read.parquet(f"{base}/rows").join(open_leaves, "_leaf", "left_semi")
-            now = hashed.join(open_leaves, "_leaf", "left_semi")
+        saved = self._saved_tree(at)
+        marked = self._marked(rows)
+        tree = durable(tree_of(durable(leaf_digests(marked, "_part", "_leaf", F.col("_hash")))))
+        open_leaves, self.levels_read = changed_leaves(tree, saved)
+        n = open_leaves.count()
+        now = self._placed(marked, open_leaves, n)
+        old = self._saved_records(at, saved, open_leaves, n)
+        same = self.key if self.by_key else [*self.key, "_hash"]
+        fresh = null_safe_join(now, old.hint("merge"), same, "left_anti")
+        if self.by_key:
+            rest = [c for c in rows.columns if c not in self.key]
+            out = fresh.groupBy(*self.key).agg(*[F.max(c).alias(c) for c in rest]).select(*rows.columns).withColumn("_change", F.lit("upsert"))
         else:
-            old, now = hashed.select(kept).limit(0), hashed
-        fresh = null_safe_join(now, old, [*self.key, "_hash"], "left_anti").distinct()
-        gone = null_safe_join(old, now, self.key, "left_anti").select(*self.key).distinct()
-        out = fresh.select(*rows.columns).withColumn("_change", F.lit("upsert")).unionByName(gone.withColumn("_change", F.lit("delete")), allowMissingColumns=True)
+            gone = null_safe_join(old, now.select(*self.key).distinct().hint("merge"), self.key, "left_anti").select(*self.key).distinct()
+            out = fresh.select(*rows.columns).distinct().withColumn("_change", F.lit("upsert")).unionByName(gone.withColumn("_change", F.lit("delete")), allowMissingColumns=True)
         if not publish:
             return durable(out)
         folder = f"{self.root}/versions/{at + 1}"
-        out.write.mode("overwrite").parquet(f"{folder}/output")
-        hashed.select(kept).write.mode("overwrite").parquet(f"{folder}/rows")
-        tree.write.mode("overwrite").parquet(f"{folder}/tree")
-        self._pointer.publish({"version": at + 1})
-        return self.spark.read.parquet(f"{folder}/output")
+        out.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/output")
+        self._publish(at + 1, now, tree, saved, open_leaves)
+        return self.spark.read.schema(out.schema).parquet(f"{folder}/output")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kvstrata.operators.changes import live_files, live_keys
-from kvstrata.operators.incremental import Source, covered_positions, uncovered
+from kvstrata.operators.incremental import IncrementalTable, covered_positions, covered_rows
 from kvstrata.operators.orphans import life_spans, manifest_references, orphan_counts, orphans
 from kvstrata.operators.seen import seen_before, wrong_answers
 from kvstrata.operators.smallfiles import compress_frames, concatenate, flushed_bodies, plan_merges, small_files
-from kvstrata.sources.scratch import durable
+from kvstrata.sources.scratch import durable, scratch_path
 from kvstrata.sources.tables import file_number, table
 
 
@@ -85,19 +85,35 @@ def p3_answers(spark, d):
     return by.agg(F.count("*").alias("n_incoming"), F.count_if("seen").alias("n_seen"), F.count_if(F.col("seen") & ~F.col("perhaps")).alias("n_missed"))
 
 
+def _positions(spark, d):
+    """Operations and file revisions in one form: (rec_table, db_id, scope, rec_no, meta_rev) identify a record, (log, seq) is its position."""
+    ops = table(spark, d, "kv_log").select(F.lit("kv_log").alias("rec_table"), "db_id", "cf", F.col("cf").alias("scope"), F.col("seqno").alias("rec_no"), F.lit(0).alias("meta_rev"), F.col("log_number").alias("log"), F.col("seqno").alias("seq"))
+    files = table(spark, d, "files").select(F.lit("files").alias("rec_table"), "db_id", "cf", F.lit(None).cast("int").alias("scope"), file_number("packed_number_and_path_id").alias("rec_no"), "meta_rev", F.col("log_number").alias("log"), F.col("largest_seqno").alias("seq"))
+    return ops.unionByName(files)
+
+
+def _ledger(spark, d):
+    """(incremental state that the succeeded runs of the ledger left, all records): a fresh state folder with one published version."""
+    records = _positions(spark, d)
+    state = IncrementalTable(spark, scratch_path(spark), ["rec_table", "db_id", "scope", "rec_no", "meta_rev"], F.col("rec_no"), part=F.xxhash64("rec_table", "db_id", "scope"), by_key=True)
+    state.adopt(covered_rows(records, durable(covered_positions(table(spark, d, "ingest_runs"))), "log", "seq"))
+    return state, records
+
+
 def p4_found(spark, d):
-    """Operations and file revisions that no succeeded run has covered."""
-    files = table(spark, d, "files").withColumn("file_number", file_number("packed_number_and_path_id"))
-    ops, revisions = uncovered(
-        [
-            Source("kv_log", table(spark, d, "kv_log"), ["db_id", "cf", "seqno"], "log_number", "seqno", F.floor(F.col("seqno") / 1024)),
-            Source("files", files, ["db_id", "file_number", "meta_rev"], "log_number", "largest_seqno", F.floor(F.col("file_number") / 256)),
-        ],
-        durable(covered_positions(table(spark, d, "ingest_runs"))),
-    )
-    return ops.select(F.lit("kv_log").alias("rec_table"), "db_id", "cf", F.col("seqno").alias("rec_no")).unionByName(
-        revisions.select(F.lit("files").alias("rec_table"), "db_id", F.col("record_cf").alias("cf"), F.col("file_number").alias("rec_no")).distinct()
-    )
+    """Operations and file revisions that no succeeded run has covered: what the next run reads, published with its tree."""
+    state, records = _ledger(spark, d)
+    out = state.run(records).select("rec_table", "db_id", "cf", "rec_no")
+    return out.where("rec_table = 'kv_log'").unionByName(out.where("rec_table = 'files'").distinct())
+
+
+def p4_second_run(spark, d):
+    """Records of two runs, the first after the ledger and one without changes, and whether the descent came down to the leaves."""
+    state, records = _ledger(spark, d)
+    counts = []
+    for run in (1, 2):
+        counts.append((run, state.run(records).count(), 0 in state.levels_read))
+    return spark.createDataFrame(counts, "run int, n_records long, leaves_read boolean")
 
 
 def p5_found(spark, d):
@@ -107,7 +123,7 @@ def p5_found(spark, d):
     return keys.unionByName(files)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_outputs, p2_totals, p2_concatenated, p2_unmatched, p3_found, p3_answers, p3_wrong_answers, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_outputs, p2_totals, p2_concatenated, p2_unmatched, p3_found, p3_answers, p3_wrong_answers, p4_found, p4_second_run, p5_found)}
 
 _FILE = "(packed_number_and_path_id & 4611686018427387903)"
 
@@ -142,6 +158,11 @@ done AS (SELECT db_id, cf, log_number AS lg, last_sequence AS sq FROM last
          WHERE lower(regexp_replace(status, '^\s+|\s+$', '', 'g')) = 'succeeded' AND log_number IS NOT NULL AND last_sequence IS NOT NULL),
 cov AS (SELECT db_id, cf, lg, sq FROM (SELECT *, row_number() OVER (PARTITION BY db_id, cf ORDER BY lg DESC, sq DESC) AS rn FROM done) x WHERE rn = 1)"""
 
+_UNCOVERED = f"""ops AS (SELECT k.db_id, k.cf, k.seqno FROM kv_log k LEFT JOIN cov c ON c.db_id = k.db_id AND c.cf = k.cf
+        GROUP BY 1, 2, 3 HAVING NOT coalesce(bool_or(k.log_number < c.lg OR (k.log_number = c.lg AND k.seqno <= c.sq)), false)),
+fs AS (SELECT f.db_id, max(f.cf) AS cf, {_FILE} AS file, f.meta_rev FROM files f LEFT JOIN cov c ON c.db_id = f.db_id AND c.cf = f.cf
+       GROUP BY 1, 3, 4 HAVING NOT coalesce(bool_or(f.log_number < c.lg OR (f.log_number = c.lg AND f.largest_seqno <= c.sq)), false))"""
+
 _ASKED = """p AS (SELECT DISTINCT probe_no, db_id, cf, user_key FROM probe_keys WHERE user_key IS NOT NULL),
 f AS (SELECT *, min(probe_no) OVER (PARTITION BY db_id, cf, user_key) AS first_no FROM p),
 k AS (SELECT DISTINCT db_id, cf, user_key FROM kv_log WHERE user_key IS NOT NULL)"""
@@ -166,12 +187,8 @@ SELECT f.db_id, f.cf, CAST(count(*) AS BIGINT) AS n_incoming, CAST(count(*) FILT
 FROM f LEFT JOIN k ON k.db_id = f.db_id AND k.cf = f.cf AND k.user_key = f.user_key GROUP BY 1, 2""",
     "p3_found": f"""WITH {_ASKED}
 SELECT DISTINCT f.probe_no FROM f LEFT JOIN k ON k.db_id = f.db_id AND k.cf = f.cf AND k.user_key = f.user_key WHERE k.user_key IS NOT NULL OR f.first_no < f.probe_no""",
-    "p4_found": f"""WITH {_COVERED},
-ops AS (SELECT k.db_id, k.cf, k.seqno FROM kv_log k LEFT JOIN cov c ON c.db_id = k.db_id AND c.cf = k.cf
-        GROUP BY 1, 2, 3 HAVING NOT coalesce(bool_or(k.log_number < c.lg OR (k.log_number = c.lg AND k.seqno <= c.sq)), false)),
-fs AS (SELECT f.db_id, max(f.cf) AS cf, {_FILE} AS file, f.meta_rev FROM files f LEFT JOIN cov c ON c.db_id = f.db_id AND c.cf = f.cf
-       GROUP BY 1, 3, 4 HAVING NOT coalesce(bool_or(f.log_number < c.lg OR (f.log_number = c.lg AND f.largest_seqno <= c.sq)), false))
-SELECT 'kv_log' AS rec_table, db_id, cf, seqno AS rec_no FROM ops UNION ALL SELECT DISTINCT 'files', db_id, cf, file FROM fs""",
+    "p4_found": f"""WITH {_COVERED}, {_UNCOVERED} SELECT 'kv_log' AS rec_table, db_id, cf, seqno AS rec_no FROM ops UNION ALL SELECT DISTINCT 'files', db_id, cf, file FROM fs""",
+    "p4_second_run": f"""WITH {_COVERED}, {_UNCOVERED} SELECT 1 AS run, CAST((SELECT count(*) FROM ops) + (SELECT count(*) FROM fs) AS BIGINT) AS n_records, true AS leaves_read UNION ALL SELECT 2, 0, false""",
     "p5_found": f"""WITH {_LIVE_FILES},
 kv AS (SELECT DISTINCT db_id, cf, user_key, seqno, tp FROM kv_log WHERE tp IN (0, 1, 4, 5) AND user_key IS NOT NULL),
 newest AS (SELECT *, row_number() OVER (PARTITION BY db_id, cf, user_key ORDER BY seqno DESC) AS rn FROM kv)

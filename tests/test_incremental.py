@@ -1,10 +1,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from helpers import LOG, RUNS, op, rows
-from kvstrata.operators.incremental import IncrementalTable, Source, changed_leaves, covered_positions, uncovered
+from helpers import RUNS, rows
+from kvstrata.operators.incremental import IncrementalTable, changed_leaves, covered_positions, covered_rows, tree_of
+from kvstrata.sources.scratch import durable
 
 TREE = "part long, leaf long, digest long"
 
@@ -24,12 +26,14 @@ def test_descent_finds_exactly_the_changed_leaves(spark):
         for k in changed[3:]:
             del then[k]
         then[1, top + 7] = 1
-        frames = [spark.createDataFrame([(*k, v) for k, v in t.items()], TREE) for t in (now, then)]
-        assert rows(changed_leaves(*frames)) == sorted({*changed, (1, top + 7)}, key=repr)
-        assert changed_leaves(frames[0], frames[0]).count() == 0
-    empty = spark.createDataFrame([], TREE)
-    assert changed_leaves(empty, empty).count() == 0
-    assert changed_leaves(frames[0], empty).count() == len(now)
+        trees = [durable(tree_of(spark.createDataFrame([(*k, v) for k, v in t.items()], TREE))) for t in (now, then)]
+        found, looked = changed_leaves(*trees)
+        assert rows(found) == sorted({*changed, (1, top + 7)}, key=repr) and looked[-1] == 0
+        same, looked = changed_leaves(trees[0], trees[0])
+        assert same.count() == 0 and len(looked) == 1 and looked[0] > 0  # equal roots end the descent
+    empty = durable(tree_of(spark.createDataFrame([], TREE)))
+    assert changed_leaves(empty, empty)[0].count() == 0
+    assert changed_leaves(trees[0], empty)[0].count() == len(now)
 
 
 def test_only_latest_reports_count(spark):
@@ -38,19 +42,54 @@ def test_only_latest_reports_count(spark):
     assert rows(covered_positions(spark.createDataFrame(runs + runs[:3], RUNS))) == [(1, 0, 3, 30), (1, 1, 2, 9)]
 
 
-def test_uncovered_operations(spark):
+POSITIONS = "db_id int, cf int, seqno long, log long, at long"
+
+
+def test_adopted_positions(spark, tmp_path):
+    """Records that the ledger's positions cover are done, by any of their rows; the rest comes once, and then no more."""
     r = random.Random(4)
-    log = [op(d, c, "k", s, 1, r.randrange(1, 6)) for d in (1, 2) for c in (0, 1) for s in range(c * 10_000 + 1, c * 10_000 + 800)] + [op(1, 0, "k", 1, 1, 99), op(1, 0, None, 5000, 3, None)]
+    log = [(d, c, s, r.randrange(1, 6), s) for d in (1, 2) for c in (0, 1) for s in range(c * 10_000 + 1, c * 10_000 + 800)]
+    log += [(1, 0, 1, 99, 1), (1, 0, 5000, None, 5000), (None, 0, 3, 1, 3), (1, None, 4, 1, 4), (1, 0, None, 3, None), *log[::9]]
     runs = spark.createDataFrame([(1, 1, 1, 0, "succeeded", 3, 400, None, at(1)), (2, 1, 2, 1, "succeeded", 5, 10**6, None, at(1))], RUNS)
     pos = {(1, 0): (3, 400), (2, 1): (5, 10**6)}
-    done = {(d, c, s) for d, c, _, s, _, _, lg, _ in log if lg is not None and (d, c) in pos and (lg, s) <= pos[d, c]}
-    extra = {c: F.lit(1) for c in ("log", "seq", "_covered", "leaf", "digest", "part")}
-    df = spark.createDataFrame(log + log[::9], LOG).withColumns(extra)
-    source = lambda x: Source("log", x, ["db_id", "cf", "seqno"], "log_number", "seqno", F.floor(F.col("seqno") / 64))
-    got = uncovered([source(df)], covered_positions(runs))[0]
-    assert rows(got, "db_id", "cf", "seqno") == sorted({(x[0], x[1], x[3]) for x in log} - done, key=repr)
-    none = uncovered([source(df.limit(0))], covered_positions(runs.limit(0)))[0]
-    assert none.count() == 0
+    done = {x[:3] for x in log if None not in x and x[:2] in pos and x[3:] <= pos[x[:2]]}
+    df = spark.createDataFrame(log, POSITIONS).withColumns({c: F.lit(1) for c in ("seq", "leaf", "digest", "part", "node", "level")})
+    t = IncrementalTable(spark, f"file://{tmp_path}/state", ["db_id", "cf", "seqno"], F.col("seqno"), leaf_width=64, part=F.xxhash64("db_id", "cf"), by_key=True)
+    t.adopt(covered_rows(df, durable(covered_positions(runs)), "log", "at"))
+    with pytest.raises(ValueError):
+        t.adopt(df)
+    got = t.run(df)
+    assert rows(got, "db_id", "cf", "seqno") == sorted({x[:3] for x in log} - done, key=repr) and 0 in t.levels_read
+    assert t.run(df).count() == 0 and 0 not in t.levels_read
+    late = df.unionByName(spark.createDataFrame([(1, 0, 7777, 1, 7777), (2, 0, 5, 9, 5), (3, 3, 1, 1, 1)], POSITIONS), allowMissingColumns=True)
+    assert rows(t.run(late), "db_id", "cf", "seqno") == [(1, 0, 7777), (3, 3, 1)]
+    assert t.run(late).count() == 0 and t.version() == 5
+
+
+def test_a_run_that_dies_before_the_rename_repeats_its_records(spark, tmp_path, monkeypatch):
+    make = lambda: IncrementalTable(spark, f"file://{tmp_path}/state", ["id"], F.col("id"), leaf_width=16)
+    frame = lambda ids: spark.createDataFrame([(i, "v") for i in ids], "id long, v string")
+    make().run(frame(range(100)))
+    dying = make()
+
+    def killed(document):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(dying._pointer, "publish", killed)
+    with pytest.raises(RuntimeError):
+        dying.run(frame(range(120)))  # output, records and tree are written, the rename is not reached
+    assert make().version() == 1
+    assert rows(make().run(frame(range(130))), "id") == [(i,) for i in range(100, 130)]
+    assert make().run(frame(range(130))).count() == 0
+
+
+def test_records_are_saved_for_changed_leaves_only(spark, tmp_path):
+    t = IncrementalTable(spark, f"file://{tmp_path}/state", ["id"], F.col("id"), leaf_width=16)
+    t.run(spark.range(10_000))
+    assert t.run(spark.range(10_001)).count() == 1
+    assert spark.read.parquet(f"{tmp_path}/state/records/at=2").count() < 400
+    assert t.run(spark.range(10_002)).count() == 1 and t.run(spark.range(10_002)).count() == 0
+    assert rows(t.run(spark.range(5, 10_002)), "id", "_change") == [(i, "delete") for i in range(5)]
 
 
 def test_runs_publish_output_and_tree_together(spark, tmp_path):

@@ -1,16 +1,20 @@
 """References to records that do not exist at the moment of the reference.
 
-Method: skew-aware split.  References are first counted per key and period; the
-counts only tell which keys are heavy, what is looked up are the references
-themselves.  Where no key is heavy, all go through the anti join.  Keys with more
-than ``heavy`` references are looked up in a broadcast map of their life spans,
-if both their number and that of their spans are measured to be within
-``HEAVY_SPANS``; all other keys go
-through a shuffled anti join.  The orphans of both branches are united.
+Method: skew-aware split.  References are first folded to one row per key and
+period (map-side, so a hot key sends a few rows per task): their number and the
+first and last point.  These groups meet the life spans of their keys.  A group
+that lies within one span has no orphan, one that meets no span is all orphans,
+and only the references of the others, which a span begins or ends among, are
+looked at one by one.  Keys are split by the comparisons they cause: a key with
+more than 1/``PARTS`` of them all is heavy, so there are fewer than ``PARTS`` heavy
+keys whatever the data are.  Their spans, cut into blocks of positions, are
+broadcast if they are counted to be few, else references and spans of heavy keys
+are shuffled by key and block, so that a heavy key is many tasks either way; all
+other keys go through a shuffled anti join.  The orphans of all branches are united.
 
 A record lives in spans [start, end) of positions.  Positions are doubled, so
 that a reference "just before n" (2n - 1) and one "after n" (2n) are both plain
-numbers and both branches make one comparison.
+numbers and all branches make one comparison.
 
 Defined results: references with a null key, scope or position name nothing and
 are not reported; a null period is a period of its own; repeated rows of a
@@ -19,45 +23,124 @@ change or block count once (of unlike repeats the greatest row holds).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvstrata.operators.changes import null_safe_join
+from kvstrata.operators.skew import spread_join
 from kvstrata.sources.scratch import durable
 from kvstrata.sources.tables import file_number
 
-HEAVY = 10_000
-#: Life spans (three longs) of all heavy keys that may be broadcast, some 10 MB.
-HEAVY_SPANS = 200_000
+#: A key that causes more than 1 / PARTS of all comparisons is heavy.
+PARTS = 1024
+#: Rows (five longs) of heavy spans that are broadcast, some 10 MB; beyond, they are shuffled by key and block.
+BROADCAST_SPANS = 200_000
+#: Doubled positions in a block of a heavy key, which bounds the spans that one reference is compared with.
+BLOCK = 1 << 10
+#: Positions in a block within which the next event of a key is looked for.
+EVENT_BLOCK = 1 << 16
 END = (1 << 62) - 1
 
 KEY = ["domain", "scope", "key"]
+GROUP = ["ref_table", "ref_field", *KEY, "period"]
 
 
-def life_spans(events: DataFrame) -> DataFrame:
-    """(KEY, start, end) from events (KEY, pos, is_add): from an add to the next event of the key."""
-    after = F.lead("pos").over(Window.partitionBy(*KEY).orderBy("pos"))
-    spans = events.where("scope IS NOT NULL AND key IS NOT NULL AND pos IS NOT NULL").withColumn("after", after).where("is_add")
-    return spans.select(*KEY, (F.col("pos") * 2).alias("start"), F.coalesce(F.col("after") * 2, F.lit(END)).alias("end"))
+def life_spans(events: DataFrame, width: int = EVENT_BLOCK) -> DataFrame:
+    """(KEY, start, end) from events (KEY, pos, is_add): from an add to the next event of the key.
+
+    The next event is looked for in the same block of ``width`` positions, then in the
+    key's next block that has any, so the events of a hot key are many tasks."""
+    known = events.where("scope IS NOT NULL AND key IS NOT NULL AND pos IS NOT NULL").select(*KEY, "pos", "is_add", F.floor(F.col("pos") / width).alias("block"))
+    inside = known.withColumn("after", F.lead("pos").over(Window.partitionBy(*KEY, "block").orderBy("pos")))
+    firsts = known.groupBy(*KEY, "block").agg(F.min("pos").alias("first"))
+    later = firsts.withColumn("later", F.lead("first").over(Window.partitionBy(*KEY).orderBy("block"))).where("later IS NOT NULL").drop("first")
+    spans = inside.where("is_add").join(later.hint("merge"), [*KEY, "block"], "left")
+    return spans.select(*KEY, (F.col("pos") * 2).alias("start"), F.coalesce(F.coalesce("after", "later") * 2, F.lit(END)).alias("end"))
 
 
 def reference_loads(refs: DataFrame) -> DataFrame:
-    """(ref_table, ref_field, KEY, period, n): references per key and period."""
-    return refs.groupBy("ref_table", "ref_field", *KEY, "period").agg(F.count("*").alias("n"))
+    """(GROUP, n, lo, hi): references per key and period, with their first and last point."""
+    return refs.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min("point").alias("lo"), F.max("point").alias("hi"))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    on = left[keys[0]] == right[keys[0]]
+    for k in keys[1:]:
+        on = on & (left[k] == right[k])
+    return on
+
+
+def _blocks(lo: Column, hi: Column) -> Column:
+    return F.sequence(F.floor(lo / BLOCK), F.floor(hi / BLOCK))
+
+
+def _missing(rows: DataFrame, spans: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The ``rows`` (KEY, lo, hi) of the shuffled branch that meet none of the spans of their key."""
+    meets = (F.col("start") <= F.col(hi)) & (F.col("end") > F.col(lo))
+    return rows.join(spans.hint("merge"), _same(rows, spans, KEY) & meets, "left_anti")
+
+
+class Lookup:
+    """Life spans of the keys that ``loads`` refer to, split into heavy and light keys."""
+
+    def __init__(self, loads: DataFrame, spans: DataFrame, parts: int = PARTS, broadcast_spans: int = BROADCAST_SPANS):
+        self.spans, self.most = spans, broadcast_spans
+        held = spans.groupBy(*KEY).agg(F.count("*").alias("spans"))
+        refs = loads.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("hi").alias("top"))
+        work = durable(refs.join(held.hint("merge"), KEY, "left").withColumn("work", F.col("n") * F.greatest(F.lit(1), F.coalesce("spans", F.lit(0)))))
+        total = work.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
+        #: Fewer than ``parts`` rows.
+        self.heavy = durable(work.where(F.col("work") > total // parts).select(*KEY, "top"))
+        self.blocks = self._heavy_blocks()
+
+    def _heavy_blocks(self) -> DataFrame:
+        """(KEY, block, spans): the spans of heavy keys in each block of positions that they meet, in order; ends beyond the last reference are cut off."""
+        hot = self.spans.join(F.broadcast(self.heavy), KEY).where(F.col("start") <= F.col("top"))
+        cut = hot.withColumn("block", F.explode(_blocks(F.col("start"), F.least(F.col("end") - 1, F.col("top")))))
+        stored = durable(cut.groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))  # at most BLOCK / 2 + 1 spans
+        few = stored.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= self.most
+        return stored.hint("broadcast" if few else "merge")
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows of heavy keys, rows of all other keys)."""
+        keys = F.broadcast(self.heavy.select(*KEY))
+        return rows.join(keys, KEY, "left_semi"), rows.join(keys, KEY, "left_anti")
+
+    def missing(self, refs: DataFrame) -> DataFrame:
+        """The references (KEY, point) that no span of their key holds."""
+        hot, cold = self.split(refs)
+        at = hot.withColumn("_block", F.floor(F.col("point") / BLOCK))
+        blocks = self.blocks.withColumnRenamed("block", "_block")
+        held = F.exists("spans", lambda s: (F.col("point") >= s["start"]) & (F.col("point") < s["end"]))
+        lost = at.join(blocks, [*KEY, "_block"], "left").where(~F.coalesce(held, F.lit(False))).select(refs.columns)
+        return lost.unionByName(_missing(cold, self.spans, "point", "point"))
+
+    def groups(self, loads: DataFrame) -> DataFrame:
+        """(GROUP, n, state) of the groups that have orphans: ``all`` where no span is met, ``some`` where one begins or ends among the references."""
+        whole = (F.col("start") <= F.col("lo")) & (F.col("end") > F.col("hi"))
+        open_groups = loads.join(self.spans.hint("merge"), _same(loads, self.spans, KEY) & whole, "left_anti")
+        stored = durable(open_groups)
+        none = durable(_missing(stored, self.spans, "lo", "hi").select(*GROUP))
+        marked = null_safe_join(stored, none.withColumn("lost", F.lit(True)).hint("merge"), GROUP, "left")
+        return marked.select(*GROUP, "n", F.when(F.col("lost"), "all").otherwise("some").alias("state"))
+
+
+def _resolved(refs: DataFrame, spans: DataFrame, parts: int, broadcast_spans: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(loads, groups with orphans, references of groups that are orphans throughout, orphans among the references of the others)."""
+    refs = durable(refs.where("scope IS NOT NULL AND key IS NOT NULL AND point IS NOT NULL"))
+    spans = durable(spans)
+    loads = durable(reference_loads(refs))
+    lookup = Lookup(loads, spans, parts, broadcast_spans)
+    groups = durable(lookup.groups(loads))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = durable(spread_join(refs, groups, GROUP, "n", total, null_safe=True))
+    return loads, groups, found.where("state = 'all'").drop("state"), lookup.missing(found.where("state = 'some'").drop("state"))
 
 
-def orphans(refs: DataFrame, spans: DataFrame, heavy: int = HEAVY, heavy_spans: int = HEAVY_SPANS, loads: DataFrame | None = None) -> DataFrame:
+def orphans(refs: DataFrame, spans: DataFrame, parts: int = PARTS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """The rows of refs (ref_table, ref_field, KEY, point, ref_no, period) whose key has no span around the point."""
-    refs = refs.where("scope IS NOT NULL AND key IS NOT NULL AND point IS NOT NULL")
-    loads = reference_loads(refs) if loads is None else loads
-    keys = durable(loads.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") > heavy).drop("n"))
-    hot_spans = durable(spans.join(F.broadcast(keys), KEY, "left_semi")) if 0 < keys.count() <= heavy_spans else None
-    inside = (F.col("point") >= F.col("start")) & (F.col("point") < F.col("end"))
-    if hot_spans is None or hot_spans.count() > heavy_spans:
-        return refs.join(spans, [refs[k] == spans[k] for k in KEY] + [inside], "left_anti")
-    lists = keys.join(hot_spans, KEY, "left").groupBy(*KEY).agg(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("spans"))
-    missed = refs.join(F.broadcast(lists), KEY).where(~F.exists("spans", lambda s: (F.col("point") >= s["start"]) & (F.col("point") < s["end"]))).select(refs.columns)
-    light = refs.join(F.broadcast(keys), KEY, "left_anti")
-    return missed.unionByName(light.join(spans, [light[k] == spans[k] for k in KEY] + [inside], "left_anti"))
+    _, _, throughout, single = _resolved(refs, spans, parts, broadcast_spans)
+    return throughout.unionByName(single)
 
 
 def manifest_references(edits: DataFrame, filter_blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,11 +170,11 @@ def manifest_references(edits: DataFrame, filter_blocks: DataFrame) -> tuple[Dat
     return deleted.unionByName(family).unionByName(named), events
 
 
-def orphan_counts(refs: DataFrame, spans: DataFrame, **options) -> DataFrame:
-    """(ref_table, ref_field, period, n_refs, n_orphans): the report per table and period, from the per-key counts of both."""
-    refs = refs.where("scope IS NOT NULL AND key IS NOT NULL AND point IS NOT NULL")
-    loads = durable(reference_loads(refs))
-    missing = reference_loads(orphans(refs, spans, loads=loads, **options)).groupBy("ref_table", "ref_field", "period").agg(F.sum("n").alias("n_orphans"))
-    total = loads.groupBy("ref_table", "ref_field", "period").agg(F.sum("n").alias("n_refs"))
-    on = (total.ref_table == missing.ref_table) & (total.ref_field == missing.ref_field) & total.period.eqNullSafe(missing.period)
-    return total.join(missing, on, "left").select(total.ref_table, total.ref_field, total.period, "n_refs", F.coalesce("n_orphans", F.lit(0).cast("long")).alias("n_orphans"))
+def orphan_counts(refs: DataFrame, spans: DataFrame, parts: int = PARTS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
+    """(ref_table, ref_field, period, n_refs, n_orphans): the report per table and period; groups that are orphans throughout are counted without their references."""
+    by = ["ref_table", "ref_field", "period"]
+    loads, groups, _, single = _resolved(refs, spans, parts, broadcast_spans)
+    lost = groups.where("state = 'all'").select(*by, "n").unionByName(reference_loads(single).select(*by, "n"))
+    missing = lost.groupBy(*by).agg(F.sum("n").alias("n_orphans"))
+    total = loads.groupBy(*by).agg(F.sum("n").alias("n_refs"))
+    return null_safe_join(total, missing, by, "left").select(*by, "n_refs", F.coalesce("n_orphans", F.lit(0).cast("long")).alias("n_orphans"))

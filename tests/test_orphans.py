@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from helpers import BLOCKS, EDITS, T0, edit, rows
+from kvstrata.operators import orphans as orphan_module
 from kvstrata.operators.orphans import life_spans, manifest_references, orphan_counts, orphans
 
 
@@ -49,13 +50,28 @@ def test_both_branches_match_brute_force(spark):
         refs, events = manifest_references(spark.createDataFrame(edits + edits[::5], EDITS), spark.createDataFrame(blocks + blocks[::3], BLOCKS))
         spans = life_spans(events)
         want = brute(edits, blocks)
-        for heavy, most in ((10**9, 10**9), (3, 10**9), (3, 0), (0, 10**9)):
-            assert rows(orphans(refs, spans, heavy, most).select("ref_table", "ref_field", F.col("scope").alias("db"), "ref_no").distinct()) == want
-        counted = orphan_counts(refs, spans, heavy=3)
+        for parts, most in ((1024, 10**9), (8, 10**9), (8, 0), (1, 0)):  # all keys are heavy, some are, some without a broadcast, none are
+            assert rows(orphans(refs, spans, parts, most).select("ref_table", "ref_field", F.col("scope").alias("db"), "ref_no").distinct()) == want
+        counted = orphan_counts(refs, spans, parts=8)
         assert sum(r.n_orphans for r in counted.collect()) == len(want)
         assert {r.period for r in counted.collect()} == {None, "2024-01"}
 
 
+def test_a_hot_key_is_cut_into_blocks(spark, monkeypatch):
+    """A family that is added and dropped over and over and named by a third of all references."""
+    monkeypatch.setattr(orphan_module, "BLOCK", 64)
+    r = random.Random(7)
+    edits = [edit(1, i, *r.choice([("ADD_CF",), ("DROP_CF",), ("SET_LOG",), ("SET_LOG",)]), cf=1) for i in range(600)] + [edit(1, 600 + i, "DEL_FILE", i, cf=2 + i) for i in range(300)]
+    refs, events = manifest_references(spark.createDataFrame(edits, EDITS), spark.createDataFrame([], BLOCKS))
+    spans = life_spans(events, 50)
+    assert rows(spans) == rows(life_spans(events))
+    loads = orphan_module.reference_loads(refs).cache()
+    lookup = orphan_module.Lookup(loads, spans)
+    assert [(x.scope, x.key) for x in lookup.heavy.collect()][:1] and max(len(x.spans) for x in lookup.blocks.collect()) <= 33
+    for most in (10**9, 0):
+        assert rows(orphans(refs, spans, 1024, most).select("ref_table", "ref_field", F.col("scope").alias("db"), "ref_no")) == brute(edits, [])
+
+
 def test_empty_and_clashing_columns(spark):
     none, no_blocks = spark.createDataFrame([], EDITS), spark.createDataFrame([], BLOCKS)
     refs, events = manifest_references(none, no_blocks)

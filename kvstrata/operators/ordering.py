@@ -8,21 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvstrata.operators.changes import null_safe_join
+
 
 def blocked_sums(df: DataFrame, group: list[str], block: Column, order: list[str], values: list[str]) -> DataFrame:
     """``df`` with ``run_<v>`` for each value column: its sum over the group's rows up to this one (and its equals in order).
 
     ``block`` must not fall as the order rises.  Rows are summed within their block
-    and blocks among themselves, so a hot group is many tasks.  Rows with a null in
-    the group or block are left out."""
-    blocked = df.withColumn("_block", block)
+    and blocks among themselves, so a hot group is many tasks.  Nulls in the group
+    are equal; rows with a null block are left out."""
+    blocked = df.withColumn("_block", block).where("_block IS NOT NULL")
     inside = Window.partitionBy(*group, "_block").orderBy(*order)
     across = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_block")
     sums = blocked.groupBy(*group, "_block").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
     before = sums.select(*group, "_block", *[(F.sum(f"_sum_{v}").over(across) - F.col(f"_sum_{v}")).alias(f"_before_{v}") for v in values])
     for v in values:
         blocked = blocked.withColumn(f"_inside_{v}", F.sum(v).over(inside))
-    out = blocked.join(before, [*group, "_block"])
+    out = null_safe_join(blocked, before.hint("merge"), [*group, "_block"], "inner") if group else blocked.join(before.hint("merge"), "_block")
     return out.select(*df.columns, *[(F.col(f"_inside_{v}") + F.col(f"_before_{v}")).cast("long").alias(f"run_{v}") for v in values])
 
 

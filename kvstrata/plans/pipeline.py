@@ -8,11 +8,14 @@ from kvstrata.operators.changes import live_files, live_keys
 from kvstrata.operators.incremental import IncrementalTable, covered_positions, covered_rows
 from kvstrata.operators.orphans import life_spans, manifest_references, orphan_counts, orphans
 from kvstrata.operators.seen import seen_before, wrong_answers
-from kvstrata.operators.smallfiles import compress_frames, concatenate, flushed_bodies, plan_merges, small_files
+from kvstrata.operators.smallfiles import FileSet, described_files, flushed_entries, plan_merges, small_files
 from kvstrata.sources.scratch import durable, scratch_path
 from kvstrata.sources.tables import file_number, table
 
 
+OUTPUT = ["db_id", "cf", "file_level", "out_no"]
+
+
 def _references(spark, d):
     refs, events = manifest_references(table(spark, d, "edits"), table(spark, d, "filter_blocks"))
     return refs, life_spans(events)
@@ -39,8 +42,7 @@ def p2_found(spark, d):
 
 def p2_outputs(spark, d):
     """Planned output files: inputs, bytes, entries."""
-    group = ["db_id", "cf", "file_level", "out_block", "out_no"]
-    return _merge_plan(spark, d).groupBy(*group).agg(F.count("*").alias("n_inputs"), F.sum("file_size").alias("n_bytes"), F.sum("num_entries").alias("n_entries"))
+    return _merge_plan(spark, d).groupBy(*OUTPUT).agg(F.count("*").alias("n_inputs"), F.sum("file_size").alias("n_bytes"), F.sum("num_entries").alias("n_entries"))
 
 
 def p2_totals(spark, d):
@@ -49,11 +51,14 @@ def p2_totals(spark, d):
 
 
 def p2_concatenated(spark, d):
-    """Flushed small files as zstandard frames, joined byte by byte into the planned outputs."""
+    """All planned small files, of every level, joined byte by byte into the planned outputs, and put in their place.
+
+    The tables describe files but do not hold their bytes, so each planned file is first stored with a header and a line per entry."""
     plan = durable(_merge_plan(spark, d))
-    parts = compress_frames(flushed_bodies(plan, table(spark, d, "files"), table(spark, d, "kv_log")), "text")
-    out = concatenate(parts, ["db_id", "cf", "file_level", "out_block", "out_no"], "file_number", "zstd")
-    return out.select("db_id", "cf", "file_level", "out_block", "out_no", "n_parts", "n_entries", "n_bytes", "crc32")
+    files = FileSet(spark, scratch_path(spark))
+    files.add(described_files(plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "db_id", "file_number")))
+    out = files.merge(plan.withColumn("name", F.concat_ws("-", "db_id", "file_number")), OUTPUT, "file_number", "lines", header=True)
+    return out.select(*OUTPUT, "n_parts", F.col("entries").alias("n_entries"), "n_bytes")
 
 
 def _seen(spark, d):
@@ -64,8 +69,8 @@ def _seen(spark, d):
 def p2_unmatched(spark, d):
     """Planned flushed files whose operations found in the log are not as many as their entries."""
     plan = durable(_merge_plan(spark, d))
-    held = flushed_bodies(plan, table(spark, d, "files"), table(spark, d, "kv_log")).select("db_id", "file_number", "entries")
-    both = plan.where("file_level = 0").join(held, ["db_id", "file_number"], "left").withColumn("entries", F.coalesce("entries", F.lit(0).cast("long")))
+    held = flushed_entries(plan, table(spark, d, "files"), table(spark, d, "kv_log"))
+    both = plan.where("file_level = 0").join(held.hint("merge"), ["db_id", "file_number"], "left").withColumn("entries", F.coalesce("entries", F.lit(0).cast("long")))
     return both.where("NOT num_entries <=> entries").select("db_id", "file_number", "num_entries", "entries")
 
 
@@ -152,6 +157,13 @@ sizes AS (SELECT db_id, {_FILE} AS file, arg_max(file_size, meta_rev) AS file_si
 small AS (SELECT l.db_id, l.cf, l.file_level, l.file, s.file_size, s.num_entries FROM live l JOIN sizes s ON s.db_id = l.db_id AND s.file = l.file JOIN level_targets t ON t.file_level = l.file_level
           WHERE 4 * s.file_size < t.target_file_bytes)"""
 
+_PLAN = f"""
+{_LIVE_FILES}, {_SMALL},
+tot AS (SELECT s.*, t.target_file_bytes AS target, count(*) OVER g AS n, CAST(sum(file_size) OVER g AS BIGINT) AS total, CAST(sum(file_size) OVER (PARTITION BY s.db_id, s.cf, s.file_level ORDER BY s.file) - file_size AS BIGINT) AS before
+        FROM small s JOIN level_targets t ON t.file_level = s.file_level WINDOW g AS (PARTITION BY s.db_id, s.cf, s.file_level)),
+outs AS (SELECT *, greatest(1, (2 * total + target) // (2 * target)) AS outputs FROM tot WHERE n > 1),
+plan AS (SELECT *, CAST(CASE WHEN total > 0 THEN least(outputs - 1, floor(before / (total / outputs))) ELSE 0 END AS BIGINT) AS out_no FROM outs)"""
+
 _COVERED = r"""
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_no ORDER BY reported_at DESC NULLS LAST, report_no DESC) AS rn FROM ingest_runs) x WHERE rn = 1),
 done AS (SELECT db_id, cf, log_number AS lg, last_sequence AS sq FROM last
@@ -182,6 +194,16 @@ FROM n LEFT JOIN m ON m.ref_table = n.ref_table AND m.ref_field = n.ref_field AN
 SELECT DISTINCT db_id, file AS file_number FROM (SELECT *, count(*) OVER (PARTITION BY db_id, cf, file_level) AS n FROM small) x WHERE n > 1""",
     "p2_totals": f"""WITH {_LIVE_FILES}, {_SMALL}
 SELECT db_id, cf, file_level, CAST(count(*) AS BIGINT) AS n_inputs, CAST(sum(file_size) AS BIGINT) AS n_bytes, CAST(sum(num_entries) AS BIGINT) AS n_entries FROM small GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+    "p2_outputs": f"""WITH {_PLAN} SELECT db_id, cf, file_level, out_no, CAST(count(*) AS BIGINT) AS n_inputs, CAST(sum(file_size) AS BIGINT) AS n_bytes, CAST(sum(num_entries) AS BIGINT) AS n_entries FROM plan GROUP BY 1, 2, 3, 4""",
+    "p2_concatenated": f"""WITH {_PLAN},
+line AS (SELECT file, db_id, sum(strlen(db_id || ' ' || file || ' ' || i) + 1) AS b FROM (SELECT db_id, file, unnest(range(num_entries)) AS i FROM plan) x GROUP BY 1, 2)
+SELECT p.db_id, p.cf, p.file_level, p.out_no, CAST(count(*) AS BIGINT) AS n_parts, CAST(coalesce(sum(p.num_entries), 0) AS BIGINT) AS n_entries, CAST(strlen('db file entry') + 1 + coalesce(sum(l.b), 0) AS BIGINT) AS n_bytes
+FROM plan p LEFT JOIN line l ON l.db_id = p.db_id AND l.file = p.file GROUP BY 1, 2, 3, 4""",
+    "p2_unmatched": f"""WITH {_PLAN}, rng AS (SELECT db_id, {_FILE} AS file, min(smallest_seqno) AS lo, max(largest_seqno) AS hi FROM files GROUP BY 1, 2),
+ops AS (SELECT DISTINCT db_id, cf, seqno FROM kv_log WHERE tp <> 3 AND user_key IS NOT NULL),
+held AS (SELECT p.db_id, p.file, any_value(p.num_entries) AS num_entries, count(o.seqno) AS entries FROM plan p LEFT JOIN rng r ON r.db_id = p.db_id AND r.file = p.file
+  LEFT JOIN ops o ON o.db_id = p.db_id AND o.cf = p.cf AND o.seqno BETWEEN r.lo AND r.hi WHERE p.file_level = 0 GROUP BY 1, 2)
+SELECT db_id, file AS file_number, num_entries, CAST(entries AS BIGINT) AS entries FROM held WHERE num_entries IS DISTINCT FROM entries""",
     "p3_answers": f"""WITH {_ASKED}
 SELECT f.db_id, f.cf, CAST(count(*) AS BIGINT) AS n_incoming, CAST(count(*) FILTER (WHERE k.user_key IS NOT NULL OR f.first_no < f.probe_no) AS BIGINT) AS n_seen, CAST(0 AS BIGINT) AS n_missed
 FROM f LEFT JOIN k ON k.db_id = f.db_id AND k.cf = f.cf AND k.user_key = f.user_key GROUP BY 1, 2""",

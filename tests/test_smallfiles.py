@@ -5,26 +5,28 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from helpers import EDITS, FILES, LOG, edit, file_row, op, rows
+from helpers import EDITS, FILES, edit, file_row, rows
+from kvstrata.operators import smallfiles
 from kvstrata.operators.changes import live_files
-from kvstrata.operators.smallfiles import Joiner, compress_frames, concatenate, flushed_bodies, frame_end, plan_merges, small_files, whole_frames
+from kvstrata.operators.smallfiles import FileSet, Joiner, combined, described_files, frame_end, plan_merges, small_files, whole_frames
 
 TARGETS = "file_level int, target_file_bytes long"
 
 
-def planned(spark, sizes, per_block=4096, target=1000):
+def planned(spark, sizes, target=1000):
     edits = spark.createDataFrame([edit(1, i + 1, "ADD_FILE", i) for i in range(len(sizes))], EDITS)
     files = spark.createDataFrame([file_row(1, i, size=s) for i, s in enumerate(sizes)], FILES)
-    return plan_merges(small_files(live_files(edits), files, spark.createDataFrame([(0, target)], TARGETS)), per_block)
+    return plan_merges(small_files(live_files(edits), files, spark.createDataFrame([(0, target)], TARGETS)))
 
 
-def test_outputs_are_well_sized_and_whole(spark):
+def test_outputs_are_well_sized_and_whole(spark, monkeypatch):
     r = random.Random(2)
     sizes = [r.randrange(1, 240) for _ in range(500)]
     for per_block in (4096, 100):
-        plan = planned(spark, sizes, per_block).cache()
+        monkeypatch.setattr(smallfiles, "NUMBERS_PER_BLOCK", per_block)
+        plan = planned(spark, sizes).cache()
         assert sorted(x.file_number for x in plan.collect()) == list(range(500))
-        out = [x.b for x in plan.groupBy("out_block", "out_no").agg(F.sum("file_size").alias("b")).collect()]
+        out = [x.b for x in plan.groupBy("out_no").agg(F.sum("file_size").alias("b")).collect()]
         assert sum(out) == sum(sizes) and all(500 < b < 1500 for b in out)
 
 
@@ -53,35 +55,61 @@ def test_frames_are_walked(spark):
             whole_frames(bad)
 
 
+def recorded(part):
+    return part, len(part), zlib.crc32(part)
+
+
+def test_checksums_combine():
+    r = random.Random(3)
+    for _ in range(30):
+        a, b = r.randbytes(r.randrange(400)), r.randbytes(r.randrange(400))
+        assert combined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_lines_headers_and_checks():
     j = Joiner("lines", header=True)
-    for part in (b"h\n1\n", b"h\n2", None, b"", b"h\n"):
-        j.add(part)
-    body, length, crc, parts = j.finish()
-    assert body == b"h\n1\n2\n" and length == 6 and crc == zlib.crc32(body) and parts == 5
-    with pytest.raises(ValueError):
-        j.add(b"other\n3\n")
+    body = b"".join(j.add(*recorded(part)) for part in (b"h\n1\n", b"h\n2", b"", b"h\n", b"h"))
+    assert body == b"h\n1\n2\n" and (j.length, j.crc, j.parts) == (6, zlib.crc32(body), 5)
+    for bad in ((b"other\n3\n", 8, zlib.crc32(b"other\n3\n")), (b"h\n1\n", 4, 7), (b"h\n1\n", 5, zlib.crc32(b"h\n1\n"))):
+        with pytest.raises(ValueError):
+            j.add(*bad)
     with pytest.raises(ValueError):
         Joiner("gzip")
 
 
-def test_concatenation_round_trip(spark):
-    data = [(o, n, f"line {o} {n}\n" * n, n) for o in range(3) for n in range(40)]
-    parts = compress_frames(spark.createDataFrame(data, "out long, no long, text string, entries long"), "text")
-    for r in concatenate(parts, ["out"], "no", "zstd").collect():
-        whole = zstandard.ZstdDecompressor().stream_reader(bytes(r.body), read_across_frames=True).read().decode()
-        assert whole == "".join(t for o, _, t, _ in data if o == r.out)
-        assert (r.n_bytes, r.crc32, r.n_parts, r.n_entries) == (len(r.body), zlib.crc32(bytes(r.body)), 40, sum(range(40)))
-    assert concatenate(parts.limit(0), ["out"], "no", "zstd").count() == 0
-
-
-def test_flushed_files_hold_every_entry_once(spark):
-    log = [op(1, 0, f"k{s % 7}", s, 1) for s in range(1, 700)] + [op(1, 1, "other", 900, 1), op(1, 0, None, 901, 3)]
-    edits = [edit(1, i, "ADD_FILE", i) for i in (1, 2)]
-    files = [file_row(1, 1, lo=1, hi=300, entries=300), file_row(1, 2, lo=301, hi=699, entries=399)]
-    plan = plan_merges(small_files(live_files(spark.createDataFrame(edits, EDITS)), spark.createDataFrame(files, FILES), spark.createDataFrame([(0, 1000)], TARGETS)))
-    bodies = flushed_bodies(plan, spark.createDataFrame(files, FILES), spark.createDataFrame(log + log[:50], LOG))
-    assert rows(bodies, "file_number", "entries") == [(1, 300), (2, 399)]
-    out = concatenate(compress_frames(bodies, "text"), ["db_id", "out_no"], "file_number", "zstd").first()
-    lines = zstandard.ZstdDecompressor().stream_reader(bytes(out.body), read_across_frames=True).read().decode().splitlines()
-    assert len(lines) == len(set(lines)) == 699 == out.n_entries
+BODIES, PLAN = "name string, payload binary, entries long", "name string, out long, no long"
+
+
+@pytest.mark.parametrize("codec", ["lines", "zstd"])
+def test_files_are_merged_and_swapped(spark, tmp_path, codec):
+    press = zstandard.ZstdCompressor(write_checksum=True).compress if codec == "zstd" else bytes
+    plain = {f"f{i}": f"line {i}\n".encode() * (i % 7) for i in range(60)}
+    files = FileSet(spark, f"file://{tmp_path}/set")
+    files.add(spark.createDataFrame([(n, press(b), i % 7) for i, (n, b) in enumerate(plain.items())] + [("loner", press(b"x\n"), 1)], BODIES))
+    plan = spark.createDataFrame([(f"f{i}", i % 4, i) for i in range(60)], PLAN)
+    out = {r.out: r for r in files.merge(plan, ["out"], "no", codec).collect()}
+    assert {r.name for r in files.listing().collect()} == {"loner", *(r.name for r in out.values())} and files.version() == 2
+    for o, r in out.items():
+        body = (tmp_path / "set" / "files" / r.name).read_bytes()
+        assert (r.n_bytes, r.crc32, r.n_parts, r.entries) == (len(body), zlib.crc32(body), 15, sum(i % 7 for i in range(60) if i % 4 == o))
+        whole = zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True).read() if codec == "zstd" else body
+        assert whole == b"".join(plain[f"f{i}"] for i in range(60) if i % 4 == o)
+    assert files.vacuum().count() == 60 and len([x for x in (tmp_path / "set" / "files").iterdir() if not x.name.startswith(".")]) == 5
+
+
+def test_a_damaged_part_stops_the_merge(spark, tmp_path):
+    files = FileSet(spark, f"file://{tmp_path}/set")
+    files.add(spark.createDataFrame([("a", b"1\n", 1), ("b", b"2\n", 1), ("c", None, 0)], BODIES))
+    (tmp_path / "set" / "files" / "b").write_bytes(b"3\n")  # as long, but other bytes
+    with pytest.raises(Exception, match="not as it was recorded"):
+        files.merge(spark.createDataFrame([("a", 1, 1), ("b", 1, 2)], PLAN), ["out"], "no", "lines")
+    assert files.version() == 1 and files.listing().count() == 3
+    (tmp_path / "set" / "files" / "b").write_bytes(b"2\n")
+    out = files.merge(spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("c", 1, 3)], PLAN), ["out"], "no", "lines")
+    assert rows(out, "n_parts", "entries", "n_bytes") == [(3, 2, 4)] and files.version() == 2
+    assert files.merge(spark.createDataFrame([], PLAN), ["out"], "no", "lines").count() == 0
+
+
+def test_described_files(spark):
+    df = spark.createDataFrame([(1, 2, 2), (1, 3, None)], "db_id int, file_number long, num_entries long")
+    assert rows(described_files(df)) == [("1-2", bytearray(b"db file entry\n1 2 0\n1 2 1"), 2), ("1-3", bytearray(b"db file entry\n"), None)]

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvstrata.functions.keys import MAX_SEQUENCE
-from kvstrata.operators.ordering import key_ranks
+from kvstrata.operators.changes import null_safe_join
+from kvstrata.operators.ordering import blocked_sums, in_ranges
 from kvstrata.operators.read import newest
+from kvstrata.sources.scratch import durable
 
 VERSION = ["cf", "key", "seq", "op", "value"]
 
@@ -56,7 +58,20 @@ def flush(kv: DataFrame, snapshots: list[int] | tuple = ()) -> DataFrame:
     return file_stats(compact(kv, snapshots), ["cf"])
 
 
-def split_files(kv: DataFrame, keys_per_file: int, prefix: int, snapshots: list[int] | tuple = (), bottommost: bool = False) -> DataFrame:
-    """Compaction output with ``file_no`` per family: cut by rank of the key, so all versions of a key lie in one file."""
-    ranked = key_ranks(compact(kv, snapshots, bottommost), ["cf"], "key", prefix)
-    return ranked.withColumn("file_no", F.floor(F.col("key_rank") / keys_per_file).cast("long")).drop("key_rank")
+def split_files(kv: DataFrame, target_bytes: int, snapshots: list[int] | tuple = (), bottommost: bool = False) -> DataFrame:
+    """Compaction output with ``file_no`` per family: cut where the running bytes of keys and values pass multiples of ``target_bytes``; all versions of a key lie in one file.
+
+    A file exceeds the target by at most the versions of one key."""
+    kept = durable(compact(kv, snapshots, bottommost).withColumn("_size", (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")))
+    keys = in_ranges(kept.groupBy("cf", "key").agg(F.sum("_size").alias("_bytes")), ["cf", "key"])
+    run = blocked_sums(keys, ["cf"], F.col("_range"), ["key"], ["_bytes"])
+    cuts = run.select("cf", "key", F.expr(f"(run__bytes - _bytes) DIV {int(target_bytes)}").alias("file_no"))
+    return null_safe_join(kept.drop("_size"), cuts.hint("merge"), ["cf", "key"], "inner")
+
+
+def compaction_edit(out: DataFrame, inputs: DataFrame, first_file: int, output_level: int) -> DataFrame:
+    """(kind, file_id, cf, level, smallest, largest, smallest_seq, largest_seq, num_entries, ...): the edit that puts a compaction's output files (``split_files`` rows) in place of its input files (file_id, cf, level)."""
+    stats = file_stats(out, ["cf", "file_no"])
+    names = Window.orderBy("cf", "file_no")  # one row per output file of one compaction
+    adds = stats.withColumn("file_id", F.row_number().over(names) + (first_file - 1)).drop("file_no").withColumn("level", F.lit(output_level)).withColumn("kind", F.lit("ADD_FILE"))
+    return adds.unionByName(inputs.select("file_id", "cf", "level").withColumn("kind", F.lit("DEL_FILE")), allowMissingColumns=True)

@@ -1,7 +1,8 @@
 """Running totals and ranks over a whole table without one task that holds it all.
 
-Rows are put into buckets that follow from their order value alone, so the two
-passes (totals per bucket, rows within a bucket) agree however tasks are retried."""
+Rows are put into buckets that follow from their order value alone or are stored
+with them, so the two passes (totals per bucket, rows within a bucket) agree however
+tasks are retried."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvstrata.operators.changes import null_safe_join
+from kvstrata.sources.scratch import durable
 
 
 def blocked_sums(df: DataFrame, group: list[str], block: Column, order: list[str], values: list[str]) -> DataFrame:
@@ -34,14 +36,22 @@ def running_total(df: DataFrame, order: str, value: Column, out: str, width: int
     return summed.withColumnRenamed("run__value", out).drop("_value")
 
 
-def key_ranks(df: DataFrame, group: list[str], key: str, prefix: int, out: str = "key_rank") -> DataFrame:
+def in_ranges(df: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_range``, the number of the range of ``columns`` that a row lies in; ranges follow from quantiles of a sample and hold about equally many rows.
+
+    Equal values lie in one range.  The rows are stored with their range, as another
+    sample would draw other limits."""
+    dealt = df.repartitionByRange(ranges, *columns) if ranges else df.repartitionByRange(*columns)
+    return durable(dealt.withColumn("_range", F.spark_partition_id()))
+
+
+def key_ranks(df: DataFrame, group: list[str], key: str, out: str = "key_rank", ranges: int | None = None) -> DataFrame:
     """``df`` with the rank (from 0) of each distinct key within its group, in byte order.
 
-    Keys share a bucket by their first ``prefix`` characters; choose it so that no
-    prefix holds more keys than a task can sort."""
-    keys = df.select(*group, key).distinct().withColumn("_bucket", F.substring(key, 1, prefix))
-    sizes = keys.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket")) - F.col("_n")).drop("_n")
-    inside = keys.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(key)))
-    ranks = inside.join(before, [*group, "_bucket"]).select(*group, key, (F.col("_before") + F.col("_at") - 1).cast("long").alias(out))
-    return df.join(ranks, [*group, key])
+    Keys are counted in ranges of about equal size, whatever prefixes they share."""
+    keys = in_ranges(durable(df.select(*group, key).distinct()), [*group, key], ranges)
+    sizes = keys.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")).drop("_n")
+    inside = keys.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(key)))
+    ranks = inside.join(before.hint("merge"), [*group, "_range"]).select(*group, key, (F.col("_before") + F.col("_at") - 1).cast("long").alias(out))
+    return df.join(ranks.hint("merge"), [*group, key])

@@ -2,20 +2,18 @@
 
 ``files`` has the columns of FILE_SCHEMA and a group column (a database, a family
 or both in one); every group is sized and scored on its own, all groups in one
-job.  Level sizes are folded to at most ``max_level`` numbers per group before
-the sizing arithmetic, which then runs in a vectorised function.  A level
-without a limit has a null target."""
+job.  Level sizes are folded to one row per group, and the sizing rule is a few
+native expressions over it.  A level without a limit has a null target."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvstrata.operators.ordering import blocked_sums
+from kvstrata.operators.ordering import blocked_sums, in_ranges
 
 
 @dataclass(frozen=True)
@@ -28,75 +26,76 @@ class LevelOptions:
     level0_trigger: int = 4
 
 
-def _rounded(x: float) -> int:
-    return math.floor(x + 0.5)
+def _rounded(x: Column) -> Column:
+    return F.floor(x + 0.5)
 
 
-def size_levels(level0_files: int, level0_bytes: int, level_bytes: list[int], o: LevelOptions) -> tuple[int, float, list[int | None]]:
-    """(base level, growth factor, targets of levels 1..max_level - 1) for the sizes of levels 1.. ."""
+def _at(level: Column, by_level: dict[int, Column]) -> Column:
+    """The value that belongs to a level."""
+    return reduce(lambda rest, item: F.when(level == item[0], item[1]).otherwise(rest), by_level.items(), F.lit(None))
+
+
+def _level_sums(files: DataFrame, group: str, levels: range) -> DataFrame:
+    """One row per group: n, b, idle (files, bytes, and bytes of idle files) of every level, and whether level 0 is busy."""
+    busy = F.coalesce("being_compacted", F.lit(False))
+    size = F.coalesce("file_size", F.lit(0))
+    sums = [F.max((F.col("level") == 0) & busy).alias("busy0")]
+    for i in levels:
+        here = F.col("level") == i
+        sums += [F.count_if(here).alias(f"n{i}"), F.sum(F.when(here, size).otherwise(0)).alias(f"b{i}"), F.sum(F.when(here & ~busy, size).otherwise(0)).alias(f"idle{i}")]
+    return files.where("level IS NOT NULL").groupBy(group).agg(*sums)
+
+
+def size_levels(sums: DataFrame, o: LevelOptions) -> DataFrame:
+    """``sums`` with base_level, factor, and target1.. per level; columns n0, b0, b1.. are sizes of levels.
+
+    The largest level, divided by the multiplier once for each level above the deepest, gives
+    every level a shrunken size.  The base level is the lowest one, not below the
+    first that holds data, whose shrunken size fits under the ceiling (level 0 or the
+    base size, whichever is larger), or the first level if none does; from there the
+    targets grow by one factor up to the largest level."""
     deepest = o.max_level - 1
-    targets: list[int | None] = [None] * deepest
-    largest = max(level_bytes, default=0)
-    if not largest:
-        return deepest, 1.0, targets
-    top = next(i for i, b in enumerate(level_bytes, 1) if b > 0)
-    ceiling = max(level0_bytes, o.base_bytes)
-    floor = _rounded(ceiling / o.multiplier)
-    size = largest
-    for _ in range(top, deepest):
-        size = _rounded(size / o.multiplier)
-    base = top
-    if size <= floor:
-        size = floor + 1
-    else:
-        while base > 1 and size > ceiling:
-            base -= 1
-            size = _rounded(size / o.multiplier)
-        size = min(size, ceiling)
-    if level0_bytes > size and (level0_bytes > o.base_bytes or level0_files // 2 > o.level0_trigger):
-        size = level0_bytes
-    factor = 1.0 if base == deepest else (largest / size) ** (1.0 / (deepest - base))
-    for level in range(base, o.max_level):
-        if level > base:
-            size = _rounded(size * factor)
-        targets[level - 1] = max(size, ceiling)
-    return base, factor, targets
-
-
-_LEVELS = "array<struct<level:int,base_level:int,factor:double,target:long,n_files:long,n_bytes:long,score:double>>"
+    levels = range(1, o.max_level)
+    top = F.least(*[F.when(F.col(f"b{i}") > 0, i) for i in levels], F.lit(None).cast("int"))
+    out = sums.withColumn("_largest", F.greatest(*[F.col(f"b{i}") for i in levels], F.lit(0).cast("long"))).withColumn("_top", top).withColumn("_ceiling", F.greatest("b0", F.lit(o.base_bytes)))
+    out = out.withColumn(f"_s{deepest}", F.col("_largest"))
+    for i in range(deepest - 1, 0, -1):
+        out = out.withColumn(f"_s{i}", _rounded(F.col(f"_s{i + 1}") / F.lit(float(o.multiplier))))
+    shrunken = {i: F.col(f"_s{i}") for i in levels}
+    fits = [F.when((F.col("_top") >= i) & (shrunken[i] <= F.col("_ceiling")), i) for i in levels]
+    out = out.withColumn("_fit", F.coalesce(F.greatest(*fits, F.lit(None).cast("int")), F.lit(1))).withColumn("_floor", _rounded(F.col("_ceiling") / F.lit(float(o.multiplier))))
+    low = _at(F.col("_top"), shrunken) <= F.col("_floor")  # little data: stay where it begins
+    out = out.withColumn("_base", F.when(low, F.col("_top")).otherwise(F.col("_fit")))
+    start = F.when(low, F.col("_floor") + 1).otherwise(F.least(_at(F.col("_fit"), shrunken), F.col("_ceiling")))
+    crowded = (F.col("b0") > F.col("_start")) & ((F.col("b0") > o.base_bytes) | (F.floor(F.col("n0") / 2) > o.level0_trigger))
+    out = out.withColumn("_start", start).withColumn("_start", F.when(crowded, F.col("b0")).otherwise(F.col("_start")))
+    empty = F.col("_largest") == 0
+    growth = F.pow(F.col("_largest") / F.col("_start"), F.lit(1.0) / (deepest - F.col("_base")))
+    out = out.withColumn("base_level", F.when(empty, deepest).otherwise(F.col("_base"))).withColumn("factor", F.when(empty | (F.col("_base") == deepest), 1.0).otherwise(growth))
+    for i in levels:
+        grown = F.when(F.col("_base") < i, _rounded(F.col(f"_t{i - 1}") * F.col("factor"))) if i > 1 else F.lit(None)
+        out = out.withColumn(f"_t{i}", F.when(~empty, F.when(F.col("_base") == i, F.col("_start")).otherwise(grown)))
+    for i in levels:
+        out = out.withColumn(f"target{i}", F.when(F.col(f"_t{i}").isNotNull(), F.greatest(f"_t{i}", "_ceiling")).cast("long"))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def level_scores(files: DataFrame, group: str, options: LevelOptions) -> DataFrame:
     """(group, level, base_level, factor, target, n_files, n_bytes, score) for levels 0..max_level - 1; the last level, and a busy level 0, have no score."""
-    busy = F.coalesce("being_compacted", F.lit(False))
-    sums = files.where(F.col("level").isNotNull()).groupBy(group, "level").agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("b"), F.coalesce(F.sum(F.when(~busy, F.col("file_size"))), F.lit(0)).alias("idle"), F.max(busy).alias("busy")
-    )
-
-    @F.pandas_udf(_LEVELS)
-    def sized(groups: pd.Series) -> pd.Series:
-        out = []
-        for levels in groups:
-            by = {int(x["level"]): x for x in levels}
-            zero = by.get(0, {"n": 0, "b": 0, "idle": 0, "busy": False})
-            sizes = [int(by[i]["b"]) if i in by else 0 for i in range(1, options.max_level)]
-            base, factor, targets = size_levels(int(zero["n"]), int(zero["b"]), sizes, options)
-            low = targets[base - 1]
-            score0 = None
-            if not zero["busy"]:
-                limit = max(options.base_bytes, _rounded(low / factor)) if low is not None else None
-                score0 = max(int(zero["n"]) / options.level0_trigger, int(zero["b"]) / limit if limit else 0.0)
-            rows = [{"level": 0, "base_level": base, "factor": factor, "target": None, "n_files": int(zero["n"]), "n_bytes": int(zero["b"]), "score": score0}]
-            for i in range(1, options.max_level):
-                target = targets[i - 1]
-                idle = int(by[i]["idle"]) if i in by else 0
-                score = None if i == options.max_level - 1 else (idle / target if target else 0.0)
-                rows.append({"level": i, "base_level": base, "factor": factor, "target": target, "n_files": int(by[i]["n"]) if i in by else 0, "n_bytes": sizes[i - 1], "score": score})
-            out.append(rows)
-        return pd.Series(out)
-
-    packed = sums.groupBy(group).agg(F.collect_list(F.struct("level", "n", "b", "idle", "busy")).alias("levels"))  # at most max_level entries
-    return packed.select(group, F.explode(sized("levels")).alias("x")).select(group, "x.*")
+    deepest = options.max_level - 1
+    sized = size_levels(_level_sums(files, group, range(options.max_level)), options)
+    low = _at(F.col("base_level"), {i: F.col(f"target{i}") for i in range(1, options.max_level)})
+    limit = F.greatest(F.lit(options.base_bytes), _rounded(low / F.col("factor")))
+    by_bytes = F.when(low.isNotNull(), F.col("b0") / limit).otherwise(0.0)
+    rows = []
+    for i in range(options.max_level):
+        target = F.col(f"target{i}") if i else F.lit(None).cast("long")
+        if i == 0:
+            score = F.when(~F.col("busy0"), F.greatest(F.col("n0") / options.level0_trigger, by_bytes))
+        else:
+            score = F.lit(None).cast("double") if i == deepest else F.coalesce(F.try_divide(F.col(f"idle{i}"), target), F.lit(0.0))
+        rows.append(F.struct(F.lit(i).alias("level"), "base_level", "factor", target.alias("target"), F.col(f"n{i}").alias("n_files"), F.col(f"b{i}").alias("n_bytes"), score.cast("double").alias("score")))
+    return sized.select(group, F.explode(F.array(*rows)).alias("x")).select(group, "x.*")
 
 
 def pick_level(scores: DataFrame, group: str) -> DataFrame:
@@ -106,13 +105,13 @@ def pick_level(scores: DataFrame, group: str) -> DataFrame:
     return best.select(group, "level", F.when(F.col("level") == 0, F.col("base_level")).otherwise(F.col("level") + 1).cast("int").alias("output_level"), "score")
 
 
-def overlap_totals(left: DataFrame, right: DataFrame, group: list[str], prefix: int = 8) -> DataFrame:
+def overlap_totals(left: DataFrame, right: DataFrame, group: list[str], ranges: int | None = None) -> DataFrame:
     """``left`` (group, id, smallest, largest, ...) with n_overlap, overlap_bytes and overlap_busy over the files of ``right`` whose key ranges meet its own.
 
     A range meets all ranges that begin at or before its end, less those that end
     before its begin; both are running totals in key order, so no pair of files
-    is ever made.  The order is cut into blocks by the first ``prefix`` characters of
-    the bounds.  Files without bounds, or with a null in the group, meet none."""
+    is ever made.  The order is cut into ``ranges`` of about equal size (as many as
+    shuffles have partitions, unless told).  Files without bounds, or with a null in the group, meet none."""
     null = F.lit(None)
     busy = F.coalesce("being_compacted", F.lit(False)).cast("long")
     bounded = right.where("smallest IS NOT NULL AND largest IS NOT NULL")
@@ -126,7 +125,7 @@ def overlap_totals(left: DataFrame, right: DataFrame, group: list[str], prefix:
         return left.select(*group, F.col(key).alias("k"), F.lit(kind).alias("kind"), zero.alias("n"), zero.alias("b"), zero.alias("busy"), "file_id").where("k IS NOT NULL")
 
     def totals(marked: DataFrame, asked: DataFrame, suffix: str) -> DataFrame:
-        run = blocked_sums(marked.unionByName(asked), group, F.substring("k", 1, prefix), ["k", "kind"], ["n", "b", "busy"])
+        run = blocked_sums(in_ranges(marked.unionByName(asked), [*group, "k", "kind"], ranges), group, F.col("_range"), ["k", "kind"], ["n", "b", "busy"])
         return run.where("file_id IS NOT NULL").select(*group, "file_id", *[F.col(f"run_{c}").alias(f"{c}_{suffix}") for c in ("n", "b", "busy")])
 
     begun = totals(marks("smallest", 0), asks("largest", 1), "begun")

@@ -9,16 +9,16 @@ from kvstrata.operators import blocks, manifest, picker, read, write
 from kvstrata.operators import compact as compaction
 from kvstrata.operators.changes import live_files
 from kvstrata.operators.ordering import key_ranks
-from kvstrata.sources.kv import BATCH, FILE_SCHEMA, LEVEL1_BASE, USERS_PER_FILE, events_with_files, kv_events, kv_from_events, kv_orders, log_keys
+from kvstrata.sources.kv import BATCH, LEVEL1_BASE, USERS_PER_FILE, events_with_files, kv_events, kv_from_events, kv_orders, log_keys
 from kvstrata.sources.scratch import durable
 from kvstrata.sources.tables import file_number, table
 from kvstrata.streaming.ingest import read_table_stream, stream_apply as apply_stream
 
 CF, KEY, SNAPSHOT, SNAPSHOTS = 1, "0000000007", 700, [300, 700]
 START, END, TARGET, PREFIX, PAGE = "0000000003", "0000000010", "0000000005x", "00000000", 5
-#: Characters of a key that its bucket is made of when keys are ranked: at most 10^4 padded numbers share one.
-RANK_PREFIX = 6
-KEYS_PER_FILE = 256
+KEYS_PER_FILE, FILE_BYTES = 256, 4096
+#: A key and a range of keys for which recorded files are pruned.
+FILE_KEY, FILE_START, FILE_END = "cfg/route-map/primary", "acct/0", "cfg"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -277,75 +277,13 @@ def flush(spark, d):
     return compaction.flush(kv_events(spark, d))
 
 
-@query(f"""WITH {_NEWEST}, r AS (SELECT *, (dense_rank() OVER (PARTITION BY cf ORDER BY key) - 1) // 64 AS file_no FROM kept)
+@query(f"""WITH {_NEWEST}, z AS (SELECT *, strlen(key) + coalesce(strlen(value), 0) AS size FROM kept), r AS (SELECT *, (sum(size) OVER (PARTITION BY cf ORDER BY key) - size) // {FILE_BYTES} AS file_no FROM z)
 SELECT cf, CAST(file_no AS BIGINT) AS file_no, min(key) AS smallest, max(key) AS largest, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2""")
 def compact_files(spark, d):
-    out = compaction.split_files(kv_events(spark, d), 64, RANK_PREFIX)
+    out = compaction.split_files(kv_events(spark, d), FILE_BYTES)
     return out.groupBy("cf", "file_no").agg(F.min("key").alias("smallest"), F.max("key").alias("largest"), F.count("*").alias("n"))
 
 
-#: File sets (id, size, level, smallest, largest) with their sizing options; the inputs of the picker's known cases.
-_L0 = [(100, 0, "aa", "ca"), (100, 0, "ba", "da"), (100, 0, "ca", "da"), (100, 0, "aa", "ba")]
-PICKER_SETS = {
-    "A6.1": (400, 4, [(i, *f) for i, f in enumerate(_L0)]),
-    "A6.2": (400, 4, [(4, 100, 6, "aa", "aa"), (5, 100, 6, "ba", "ba"), (6, 100, 6, "ca", "ca"), (7, 100, 6, "da", "da"), *[(8 + i, *f) for i, f in enumerate(_L0)]]),
-    "A6.3": (400, 4, [(1, 200, 6, "aa", "aa"), (2, 200, 6, "ba", "ba"), (3, 100, 6, "ca", "ca"), (4, 100, 6, "da", "da"), *[(8 + i, *f) for i, f in enumerate(_L0)]]),
-    "A7.1": (200, 2, [(1, 1, 0, "150", "200"), (2, 1, 0, "200", "250"), (3, 300, 6, "200", "250"), (4, 300, 6, "300", "350"), (5, 3, 4, "150", "180"), (6, 3, 4, "181", "350"), (7, 3, 4, "400", "450")]),
-    "A7.2": (200, 2, [(1, 1, 0, "150", "200"), (2, 300, 6, "200", "250"), (3, 3000, 6, "300", "350"), (4, 3, 6, "400", "450"), (5, 300, 5, "150", "180"), (6, 500, 5, "181", "350"), (7, 200, 5, "400", "450")]),
-}
-
-
-#: Base level, factor and targets of levels 1 to 6 of these sets, worked out by hand from the sizing rule.
-_SIZED = """sized(fixture, base_level, factor, targets) AS (VALUES ('A6.1', 6, 1.0, [NULL, NULL, NULL, NULL, NULL, NULL]), ('A6.2', 6, 1.0, [NULL, NULL, NULL, NULL, NULL, 400]),
-('A6.3', 5, 10.0, [NULL, NULL, NULL, NULL, 400, 600]), ('A7.1', 4, sqrt(600.0 / 21), [NULL, NULL, NULL, 200, 200, 599]), ('A7.2', 4, sqrt(3303.0 / 33), [NULL, NULL, NULL, 200, 330, 3301])),
-levels AS (SELECT fixture, CAST(l AS INTEGER) AS level, base_level, CAST(round(factor, 6) AS DOUBLE) AS factor, CAST(CASE WHEN l > 0 THEN targets[l] END AS BIGINT) AS target, CAST(targets[base_level] AS BIGINT) AS low FROM sized, range(0, 7) r(l))"""
-_SETS = "sets(fixture, base, trigger, level, size) AS (VALUES " + ", ".join(f"('{n}', {b}, {t}, {level}, {size})" for n, (b, t, rows) in PICKER_SETS.items() for _, size, level, _, _ in rows) + ")"
-
-
-def _picker_sets(spark):
-    """(options, files) per option pair."""
-    by: dict = {}
-    for name, (base, trigger, rows) in PICKER_SETS.items():
-        by.setdefault((base, trigger), []).extend((name, i, 0, level, size, lo, hi, 0, 0, 0, 0, False) for i, size, level, lo, hi in rows)
-    return [(picker.LevelOptions(base_bytes=b, level0_trigger=t), spark.createDataFrame(rows, "fixture string, " + FILE_SCHEMA)) for (b, t), rows in by.items()]
-
-
-def _picked(spark):
-    for options, files in _picker_sets(spark):
-        yield files, durable(picker.pick_level(picker.level_scores(files, "fixture", options), "fixture"))
-
-
-@query(f"WITH {_SIZED} SELECT fixture, level, base_level, target, factor FROM levels")
-def level_targets(spark, d):
-    return read.union_sources([picker.level_scores(f, "fixture", o).select("fixture", "level", "base_level", "target", F.round("factor", 6).alias("factor")) for o, f in _picker_sets(spark)])
-
-
-@query(f"""WITH {_SIZED}, {_SETS}, o AS (SELECT DISTINCT fixture, base, trigger FROM sets), t AS (SELECT fixture, level, count(*) AS n, sum(size) AS b FROM sets GROUP BY 1, 2)
-SELECT l.fixture, l.level, CAST(round(CASE WHEN l.level > 0 THEN coalesce(coalesce(t.b, 0) / l.target, 0)
-  ELSE greatest(coalesce(t.n, 0) / o.trigger, coalesce(coalesce(t.b, 0) / greatest(o.base, floor(l.low / l.factor + 0.5)), 0)) END, 6) AS DOUBLE) AS score
-FROM levels l JOIN o ON o.fixture = l.fixture LEFT JOIN t ON t.fixture = l.fixture AND t.level = l.level WHERE l.level < 6""")
-def compaction_score(spark, d):
-    return read.union_sources([picker.level_scores(f, "fixture", o).where("score IS NOT NULL").select("fixture", "level", F.round("score", 6).alias("score")) for o, f in _picker_sets(spark)])
-
-
-@query("SELECT * FROM (VALUES ('A6.1', 0, 6), ('A6.2', 0, 6), ('A6.3', 0, 5), ('A7.1', 0, 4), ('A7.2', 5, 6)) v(fixture, level, output_level)")
-def pick_level(spark, d):
-    return read.union_sources([p.select("fixture", "level", "output_level") for _, p in _picked(spark)])
-
-
-@query("""SELECT fixture, CAST(file_id AS BIGINT) AS file_id FROM (VALUES ('A6.1', 0), ('A6.1', 1), ('A6.1', 2), ('A6.1', 3), ('A6.2', 8), ('A6.2', 9), ('A6.2', 10), ('A6.2', 11),
-('A6.3', 8), ('A6.3', 9), ('A6.3', 10), ('A6.3', 11), ('A7.1', 1), ('A7.1', 2), ('A7.2', 5)) v(fixture, file_id)""")
-def pick_files(spark, d):
-    return read.union_sources([picker.pick_files(f, p, "fixture").select("fixture", "file_id") for f, p in _picked(spark)])
-
-
-@query("""SELECT fixture, CAST(file_id AS BIGINT) AS file_id, output_level FROM (VALUES ('A6.1', 0, 6), ('A6.1', 1, 6), ('A6.1', 2, 6), ('A6.1', 3, 6),
-('A6.2', 4, 6), ('A6.2', 5, 6), ('A6.2', 6, 6), ('A6.2', 7, 6), ('A6.2', 8, 6), ('A6.2', 9, 6), ('A6.2', 10, 6), ('A6.2', 11, 6),
-('A6.3', 8, 5), ('A6.3', 9, 5), ('A6.3', 10, 5), ('A6.3', 11, 5), ('A7.1', 1, 4), ('A7.1', 2, 4), ('A7.1', 5, 4), ('A7.1', 6, 4), ('A7.2', 5, 6)) v(fixture, file_id, output_level)""")
-def expand_inputs(spark, d):
-    return read.union_sources([picker.expand_inputs(f, durable(picker.pick_files(f, p, "fixture")), "fixture").select("fixture", "file_id", "output_level") for f, p in _picked(spark)])
-
-
 # Metadata
 
 _FN = "(packed_number_and_path_id & 4611686018427387903)"
@@ -389,16 +327,16 @@ def file_stats(spark, d):
     return compaction.file_stats(events_with_files(spark, d, 0), ["file_id"])
 
 
-@query(f"WITH {KV}, {_files_sql(1)} SELECT file_id, smallest, largest FROM fs WHERE smallest <= '{KEY}' AND largest >= '{KEY}'")
+@query(f"WITH {_LATEST} SELECT db_id, cf, file_number, smallest, largest FROM latest WHERE smallest <= '{FILE_KEY}' AND largest >= '{FILE_KEY}'")
 def file_prune_point(spark, d):
-    files = compaction.file_stats(events_with_files(spark, d, 1), ["file_id"])
-    return files.where((F.col("smallest") <= KEY) & (F.col("largest") >= KEY)).select("file_id", "smallest", "largest")
+    """The recorded files that can hold a key, from their stored ranges."""
+    return manifest.latest_files(table(spark, d, "files")).where((F.col("smallest") <= FILE_KEY) & (F.col("largest") >= FILE_KEY)).select("db_id", "cf", "file_number", "smallest", "largest")
 
 
-@query(f"WITH {KV}, {_files_sql(1)} SELECT file_id, smallest, largest FROM fs WHERE smallest < '{END}' AND largest >= '{START}'")
+@query(f"WITH {_LATEST} SELECT db_id, cf, file_number, smallest, largest FROM latest WHERE smallest < '{FILE_END}' AND largest >= '{FILE_START}'")
 def file_prune_range(spark, d):
-    files = compaction.file_stats(events_with_files(spark, d, 1), ["file_id"])
-    return files.where((F.col("smallest") < END) & (F.col("largest") >= START)).select("file_id", "smallest", "largest")
+    """The recorded files that can hold keys of a range, from their stored ranges."""
+    return manifest.latest_files(table(spark, d, "files")).where((F.col("smallest") < FILE_END) & (F.col("largest") >= FILE_START)).select("db_id", "cf", "file_number", "smallest", "largest")
 
 
 @query(f"""WITH {_LATEST}, f AS (SELECT db_id, cf, file_number AS file_id, file_level AS level, smallest, largest, CASE WHEN file_size > 0 THEN file_size ELSE 0 END AS file_size FROM latest)
@@ -464,32 +402,32 @@ more AS (SELECT f.*, h.output_level FROM f JOIN hull h ON h.db_id = f.db_id AND
 
 
 @query(f"WITH RECURSIVE {_RECORDED} SELECT db_id, cf, level, CAST(bl AS INTEGER) AS base_level, target, round(factor, 6) AS factor FROM levels")
-def recorded_level_targets(spark, d):
+def level_targets(spark, d):
     options, files = _recorded(spark, d)
     return picker.level_scores(files, "grp", options).select("grp.*", "level", "base_level", "target", F.round("factor", 6).alias("factor"))
 
 
 @query(f"WITH RECURSIVE {_RECORDED} SELECT db_id, cf, level, CAST(round(score, 6) AS DOUBLE) AS score FROM scores")
-def recorded_compaction_score(spark, d):
+def compaction_score(spark, d):
     options, files = _recorded(spark, d)
     return picker.level_scores(files, "grp", options).where("score IS NOT NULL").select("grp.*", "level", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH RECURSIVE {_RECORDED} SELECT db_id, cf, level, CAST(output_level AS INTEGER) AS output_level FROM picked")
-def recorded_pick_level(spark, d):
+def pick_level(spark, d):
     options, files = _recorded(spark, d)
     return picker.pick_level(picker.level_scores(files, "grp", options), "grp").select("grp.*", "level", "output_level")
 
 
 @query(f"WITH RECURSIVE {_RECORDED} SELECT db_id, cf, file_id FROM chosen")
-def recorded_pick_files(spark, d):
+def pick_files(spark, d):
     return _recorded_choice(spark, d)[1].select("grp.*", "file_id")
 
 
 @query(f"""WITH RECURSIVE {_RECORDED} SELECT DISTINCT x.db_id, x.cf, x.file_id, CAST(x.output_level AS INTEGER) AS output_level
 FROM (SELECT db_id, cf, file_id, output_level FROM chosen UNION ALL SELECT db_id, cf, file_id, output_level FROM more) x
 WHERE NOT EXISTS (SELECT 1 FROM more m WHERE m.busy AND m.db_id = x.db_id AND m.cf IS NOT DISTINCT FROM x.cf)""")
-def recorded_expand_inputs(spark, d):
+def expand_inputs(spark, d):
     files, chosen = _recorded_choice(spark, d)
     return picker.expand_inputs(files, durable(chosen), "grp").select("grp.*", "file_id", "output_level")
 
@@ -571,7 +509,7 @@ c AS (SELECT *, length(h) // 2 AS a, length(g) // 2 AS b, len(list_filter(range(
 
 def _key_files(spark, d):
     """The distinct keys of each family in sorted files of a bounded number of keys."""
-    ranked = key_ranks(log_keys(spark, d), ["db_id", "cf"], "key", RANK_PREFIX)
+    ranked = key_ranks(log_keys(spark, d), ["db_id", "cf"], "key")
     return ranked.withColumn("file_no", F.floor(F.col("key_rank") / KEYS_PER_FILE).cast("long")).drop("key_rank")
 
 

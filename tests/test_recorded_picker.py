@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from helpers import FILES, duck, rows
-from kvstrata.plans.store_queries import PICKER_SETS
+from picker_sets import PICKER_SETS
 
-NAMES = ["recorded_level_targets", "recorded_compaction_score", "recorded_pick_level", "recorded_pick_files", "recorded_expand_inputs"]
+NAMES = ["level_targets", "compaction_score", "pick_level", "pick_files", "expand_inputs"]
 
 
 @pytest.fixture(scope="module")
@@ -25,11 +25,11 @@ def made(spark, tmp_path_factory):
 def test_inputs_of_each_group(spark, made):
     run = {n: entry.queries()[n](spark, made) for n in NAMES}
     groups = {(1, 0), (1, None), (2, 1), (3, 1)}
-    assert {(r.db_id, r.cf) for r in run["recorded_level_targets"].collect()} == groups
-    picks = {(r.db_id, r.cf): (r.level, r.output_level) for r in run["recorded_pick_level"].collect()}
+    assert {(r.db_id, r.cf) for r in run["level_targets"].collect()} == groups
+    picks = {(r.db_id, r.cf): (r.level, r.output_level) for r in run["pick_level"].collect()}
     assert picks == {(1, 0): (0, 6), (1, None): (0, 6), (2, 1): (5, 6), (3, 1): (5, 6)}
     got: dict = {}
-    for r in run["recorded_expand_inputs"].collect():
+    for r in run["expand_inputs"].collect():
         got.setdefault((r.db_id, r.cf), set()).add(r.file_id)
     assert got == {(1, 0): set(range(4, 12)), (1, None): set(range(104, 112)), (2, 1): {5}, (3, 1): {4, 7}}
 

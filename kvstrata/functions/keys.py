@@ -79,6 +79,23 @@ def varint_length(n) -> Column:
     return F.when(n.isNotNull(), out)
 
 
+def varint_hex(n) -> Column:
+    """The variable-length form of a number, which is read as unsigned: seven bits a byte, least first, the top bit set on all but the last."""
+    n = col(n)
+    groups = F.transform(F.sequence(F.lit(0), F.lit(63), F.lit(7)), lambda i: F.call_function("shiftrightunsigned", n, i).bitwiseAND(F.lit(127)))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda top, i: F.when(F.call_function("shiftrightunsigned", n, i * 7) != 0, i).otherwise(top))
+    bytes_ = F.transform(F.slice(groups, F.lit(1), last + 1), lambda g, i: F.lpad(F.hex(g + F.when(i < last, 128).otherwise(0)), 2, "0"))
+    return F.when(n.isNotNull(), F.concat_ws("", bytes_))
+
+
+def varint_value(x) -> Column:
+    """The number at the start of a hexadecimal string in variable-length form; null if it is cut off."""
+    x = col(x)
+    size = F.length(F.regexp_extract(x, "^((?:[89A-F].)*[0-7].)", 1)) / 2
+    digits = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.call_function("shiftleft", F.conv(F.substr(x, i * 2 + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127)), i * 7))
+    return F.when(size > 0, F.aggregate(digits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+
+
 def crc_mask(crc) -> Column:
     """Rotation right by 15 and a constant, modulo 2^32."""
     c = col(crc).cast("long")

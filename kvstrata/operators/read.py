@@ -14,6 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvstrata.operators.skew import thinned
+from kvstrata.sources.scratch import durable
+
 ENTRY = ["cf", "key", "seq", "value"]
 
 
@@ -103,7 +106,8 @@ def as_of(kv: DataFrame, probes: DataFrame, width: int = 1 << 16) -> DataFrame:
     Versions and probes are put in one order per key, and the newest (seq, op) at
     or before each probe is carried forward as one number: first within blocks of
     ``width`` sequence numbers, then from block to block, so a hot key is many
-    tasks and no version meets a probe in a pair.  Values are fetched at the end."""
+    tasks and no version meets a probe in a pair.  Values are fetched at the end, and
+    only those of the answers are shuffled."""
     keys = ["cf", "key"]
     block = lambda c: F.floor(F.col(c) / width).cast("long").alias("block")
     asked = probes.where("key IS NOT NULL AND snapshot IS NOT NULL").select(*keys, F.col("snapshot").cast("long").alias("snapshot")).distinct()
@@ -117,7 +121,9 @@ def as_of(kv: DataFrame, probes: DataFrame, width: int = 1 << 16) -> DataFrame:
     before = points.groupBy(*keys, "block").agg(F.max("rank").alias("top")).withColumn("earlier", earlier).drop("top")
     same = F.col("cf").eqNullSafe(F.col("_cf")) & (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block"))
     seen = here.join(before.withColumnsRenamed({"cf": "_cf", "key": "_key", "block": "_block"}), same).withColumn("newest", F.coalesce("newest", "earlier"))
-    seen = seen.where("newest % 2 = 1").select(*keys, "snapshot", F.shiftright("newest", 1).alias("seq"))
-    values = rows.where("op = 'PUT'").select(F.col("cf").alias("_cf"), F.col("key").alias("_key"), F.col("seq").alias("_seq"), "value").dropDuplicates(["_cf", "_key", "_seq"])
+    seen = durable(seen.where("newest % 2 = 1").select(*keys, "snapshot", F.shiftright("newest", 1).alias("seq")))
+    entry = F.xxhash64("cf", "key", "seq")
+    held = thinned(rows.where("op = 'PUT'").select(*keys, "seq", "value"), entry, seen, entry, seen.count()).dropDuplicates([*keys, "seq"])
+    values = held.withColumnsRenamed({"cf": "_cf", "key": "_key", "seq": "_seq"})
     same = F.col("cf").eqNullSafe(F.col("_cf")) & (F.col("key") == F.col("_key")) & (F.col("seq") == F.col("_seq"))
-    return seen.join(values, same).select(*keys, "snapshot", "seq", "value")
+    return seen.join(values.hint("merge"), same).select(*keys, "snapshot", "seq", "value")

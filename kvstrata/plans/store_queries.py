@@ -542,6 +542,15 @@ def varint_length(spark, d):
     return numbers.groupBy(keys.varint_length("v").alias("n_bytes")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH n AS (SELECT DISTINCT v FROM (SELECT unnest([seqno, (seqno << 8) | tp, log_number]) AS v FROM kv_log) a WHERE v IS NOT NULL),
+d AS (SELECT v, unnest(range(0, 9)) AS i FROM n)
+SELECT v AS number, string_agg(lpad(upper(to_hex(((v >> (7 * i)) & 127) + CASE WHEN (v >> (7 * i)) > 127 THEN 128 ELSE 0 END)), 2, '0'), '' ORDER BY i) AS encoded, v AS decoded FROM d WHERE i = 0 OR (v >> (7 * i)) > 0 GROUP BY v""")
+def varint_code(spark, d):
+    """Numbers in variable-length form, and back."""
+    numbers = table(spark, d, "kv_log").select(F.explode(F.array("seqno", keys.pack_sequence_and_type("seqno", "tp"), "log_number")).alias("number")).where("number IS NOT NULL").distinct()
+    return numbers.withColumn("encoded", keys.varint_hex("number")).withColumn("decoded", keys.varint_value("encoded"))
+
+
 @query("""WITH h AS (SELECT DISTINCT hash_entry AS crc FROM probe_keys WHERE hash_entry IS NOT NULL)
 SELECT crc, CAST((((crc >> 15) | ((crc << 17) & 4294967295)) + 2726488792) & 4294967295 AS BIGINT) AS masked, crc AS unmasked FROM h""")
 def crc_mask(spark, d):
@@ -579,7 +588,13 @@ def _blocks(spark, d):
     return table(spark, d, "filter_blocks").groupBy("block_no").agg(F.max("hash_entries").alias("hash_entries"))
 
 
-@query()
+@query("""WITH b AS (SELECT block_no, max(hash_entries) AS h FROM filter_blocks GROUP BY 1),
+n AS (SELECT block_no, coalesce(len(h), 0) AS n, CASE WHEN coalesce(len(h), 0) = 0 THEN 0 ELSE ((n * 10 + 511) // 512) // 2 * 2 + 1 END AS lines, h FROM b),
+p AS (SELECT block_no, lines, x & 4294967295 AS x FROM (SELECT block_no, lines, unnest(h) AS x FROM n) u),
+w AS (SELECT DISTINCT block_no, (x % lines) * 512 + ((x + ((x >> 17) | ((x << 15) & 4294967295)) * i) & 511) AS place FROM p, range(0, 7) r(i)),
+y AS (SELECT block_no, place // 8 AS at, CAST(sum(1 << CAST(place % 8 AS INTEGER)) AS BIGINT) AS byte FROM w GROUP BY 1, 2),
+f AS (SELECT z.block_no, string_agg(lpad(upper(to_hex(coalesce(y.byte, 0))), 2, '0'), '' ORDER BY z.at) AS bits FROM (SELECT block_no, unnest(range(lines * 64)) AS at FROM n) z LEFT JOIN y ON y.block_no = z.block_no AND y.at = z.at GROUP BY 1)
+SELECT n.block_no, CAST(n.n AS BIGINT) AS n_hashes, CAST(n.lines AS BIGINT) AS lines, CAST(CASE WHEN n.n = 0 THEN 0 ELSE 7 END AS BIGINT) AS probes, coalesce(f.bits, '') AS bits_hex FROM n LEFT JOIN f ON f.block_no = n.block_no""")
 def bloom_build(spark, d):
     built = bloom.build_filters(_blocks(spark, d), "block_no", "hash_entries")
     return built.select("block_no", "n_hashes", "lines", "probes", F.hex("bits").alias("bits_hex"))
@@ -614,12 +629,30 @@ def restart_points(spark, d):
     return blocks.restart_flags(_key_files(spark, d), _FILE_KEY).where("is_restart").select(*_FILE_KEY, "key", "ordinal")
 
 
-@query()
+def _varint_sql(x: str) -> str:
+    return f"(CASE WHEN {x} < 128 THEN 1 WHEN {x} < 16384 THEN 2 WHEN {x} < 2097152 THEN 3 ELSE 4 END)"
+
+
+#: Entries of each file in order, their sizes with and without a shared prefix, and the blocks they fall into one after the other.
+_CUT = f"""{KV}, e AS (SELECT CAST(user_id // {USERS_PER_FILE} + {LEVEL1_BASE} AS BIGINT) AS file_id, key, hex(encode(key)) AS h, lag(hex(encode(key))) OVER w AS p, strlen(key) AS kl, coalesce(strlen(value), 0) AS vl, row_number() OVER w AS rn
+  FROM kv WINDOW w AS (PARTITION BY user_id // {USERS_PER_FILE} ORDER BY key, seq DESC)),
+s AS (SELECT *, CASE WHEN p IS NULL THEN 0 ELSE len(list_filter(range(2, least(length(h), length(p)) + 1, 2), lambda i: substr(h, 1, i) = substr(p, 1, i))) END AS shared FROM e),
+z AS (SELECT *, 1 + {_varint_sql('(kl + 8)')} + {_varint_sql('vl')} + kl + 8 + vl AS whole, {_varint_sql('shared')} + {_varint_sql('(kl + 8 - shared)')} + {_varint_sql('vl')} + kl + 8 - shared + vl AS delta FROM s),
+r AS (SELECT file_id, rn, key, key AS first_key, 0 AS block_no, 1 AS n, 8 + whole AS size FROM z WHERE rn = 1
+  UNION ALL SELECT z.file_id, z.rn, z.key, CASE WHEN r.size >= {blocks.BLOCK_SIZE} THEN z.key ELSE r.first_key END, r.block_no + CASE WHEN r.size >= {blocks.BLOCK_SIZE} THEN 1 ELSE 0 END, CASE WHEN r.size >= {blocks.BLOCK_SIZE} THEN 1 ELSE r.n + 1 END,
+    CASE WHEN r.size >= {blocks.BLOCK_SIZE} THEN 8 + z.whole WHEN r.n % {blocks.RESTART} = 0 THEN r.size + 4 + z.whole ELSE r.size + z.delta END FROM r JOIN z ON z.file_id = r.file_id AND z.rn = r.rn + 1),
+cut AS (SELECT file_id, CAST(block_no AS BIGINT) AS block_no, min(first_key) AS first_key, max(key) AS last_key, CAST(max(n) AS BIGINT) AS n_entries, CAST(max(size) AS BIGINT) AS n_bytes FROM r GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_CUT} SELECT * FROM cut")
 def block_cut(spark, d):
     return blocks.cut_blocks(events_with_files(spark, d, 1), "file_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CUT}, x AS (SELECT file_id, block_no, hex(encode(last_key)) AS h, lead(hex(encode(first_key))) OVER (PARTITION BY file_id ORDER BY block_no) AS g FROM cut),
+c AS (SELECT *, length(h) // 2 AS a, length(g) // 2 AS b, len(list_filter(range(2, least(length(h), length(g)) + 1, 2), lambda i: substr(h, 1, i) = substr(g, 1, i))) AS same FROM x)
+SELECT file_id, block_no, CASE WHEN g IS NULL THEN {_grown('h', '0')} WHEN same = least(a, b) THEN h WHEN same + 1 < b OR {_byte('h', 'same')} + 1 < {_byte('g', 'same')} THEN {_grown('h', 'same')}
+  WHEN same + 1 < a THEN {_grown('h', 'same + 1')} ELSE h END AS separator_hex FROM c""")
 def index_entries(spark, d):
     return blocks.index_entries(blocks.cut_blocks(events_with_files(spark, d, 1), "file_id"))
 

@@ -28,7 +28,7 @@ def test_running_total_and_ranks(spark):
     assert got == want
     keys = spark.createDataFrame([(g, k) for g in (0, 1) for k in ("a", "ab", "b", "ba", "bb", "é", "")], "g int, k string")
     order = sorted(("a", "ab", "b", "ba", "bb", "é", ""), key=str.encode)
-    assert rows(key_ranks(keys, ["g"], "k", 1), "g", "k", "key_rank") == sorted(((g, k, order.index(k)) for g in (0, 1) for k in order), key=repr)
+    assert rows(key_ranks(keys, ["g"], "k", ranges=3), "g", "k", "key_rank") == sorted(((g, k, order.index(k)) for g in (0, 1) for k in order), key=repr)
 
 
 def test_global_sequence(spark):

@@ -68,10 +68,3 @@ def split_files(kv: DataFrame, target_bytes: int, snapshots: list[int] | tuple =
     cuts = run.select("cf", "key", F.expr(f"(run__bytes - _bytes) DIV {int(target_bytes)}").alias("file_no"))
     return null_safe_join(kept.drop("_size"), cuts.hint("merge"), ["cf", "key"], "inner")
 
-
-def compaction_edit(out: DataFrame, inputs: DataFrame, first_file: int, output_level: int) -> DataFrame:
-    """(kind, file_id, cf, level, smallest, largest, smallest_seq, largest_seq, num_entries, ...): the edit that puts a compaction's output files (``split_files`` rows) in place of its input files (file_id, cf, level)."""
-    stats = file_stats(out, ["cf", "file_no"])
-    names = Window.orderBy("cf", "file_no")  # one row per output file of one compaction
-    adds = stats.withColumn("file_id", F.row_number().over(names) + (first_file - 1)).drop("file_no").withColumn("level", F.lit(output_level)).withColumn("kind", F.lit("ADD_FILE"))
-    return adds.unionByName(inputs.select("file_id", "cf", "level").withColumn("kind", F.lit("DEL_FILE")), allowMissingColumns=True)

@@ -1,3 +1,6 @@
+import os
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -79,6 +82,42 @@ def test_internal_keys_and_numbers(spark):
     assert [r[0] for r in p.select(keys.path_id("x")).collect()] == [0, 1, 3]
 
 
+def test_varints(spark):
+    numbers = [0, 1, 127, 128, 300, 16383, 16384, 2**32 - 1, 2**56, 2**63 - 1, -1, None]
+
+    def plain(n):
+        n, out = n & (1 << 64) - 1, []
+        while n > 127:
+            out, n = [*out, n & 127 | 128], n >> 7
+        return bytes([*out, n]).hex().upper()
+
+    df = spark.createDataFrame([(n,) for n in numbers], "n long").withColumn("x", keys.varint_hex("n"))
+    assert [r.x for r in df.collect()] == [None if n is None else plain(n) for n in numbers]
+    assert [r.v for r in df.select(keys.varint_value(F.concat("x", F.lit("8001"))).alias("v")).collect()] == numbers
+    assert spark.createDataFrame([("80",), ("",), ("FFFF",)], "x string").select(keys.varint_value("x").alias("v")).where("v IS NOT NULL").count() == 0
+
+
+def test_blocks_match_one_entry_at_a_time(spark):
+    r = random.Random(4)
+    made = [(f, "".join(r.choices("ab", k=r.choice([1, 3, 8, 300]))), "v" * r.choice([0, 5, 700, 20_000]) if r.random() < 0.9 else None, i) for i in range(900) for f in [r.choice([1, 1, 2])]]
+    size = lambda n: max(1, -(-n.bit_length() // 7))
+    want, last = [], None
+    for f, k, v, i in sorted(made, key=lambda x: (x[0], x[1].encode(), -x[3])):
+        n = len(v or "")
+        if last is None or last[0] != f or last[5] >= 4096:
+            last = [f, last[1] + 1 if last and last[0] == f else 0, k, None, 0, 8]
+            want.append(last)
+        shared = len(os.path.commonprefix([k, last[3]])) if last[4] % 16 else 0
+        last[5] += size(shared) + size(len(k) + 8 - shared) + size(n) + len(k) + 8 - shared + n + (4 if last[4] and last[4] % 16 == 0 else 0)
+        last[3], last[4] = k, last[4] + 1
+    df = spark.createDataFrame(made, "file_id long, key string, value string, seq long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        assert sorted(tuple(x) for x in blocks.cut_blocks(df, "file_id").collect()) == sorted(map(tuple, want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_blocks(spark):
     kv = spark.createDataFrame([(f, f"key{i:05}", "v" * 50, i) for f in (1, 2) for i in range(500)] + [(3, "only", None, 1)], "file_id long, key string, value string, seq long")
     cut = blocks.cut_blocks(kv, "file_id").cache()

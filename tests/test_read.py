@@ -99,7 +99,11 @@ def test_compaction_keeps_pinned_reads(spark, seed, snapshots):
 
 def test_split_keeps_keys_whole(spark):
     kv = spark.createDataFrame(log(), KV_SCHEMA)
-    out = compact.split_files(kv, 4, 2, [50, 200])
+    out = compact.split_files(kv, 40, [50, 200])
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    assert out.select("file_no").distinct().count() > 3 and rows(out.drop("file_no")) == rows(compact.compact(kv, [50, 200]))
+    least = out.groupBy("cf", "key", "file_no").agg(F.sum(size).alias("b")).groupBy("cf", "file_no").agg((F.sum("b") - F.max("b")).alias("over")).agg(F.max("over")).first()[0]
+    assert least < 40
     assert out.groupBy("cf", "key").agg(F.countDistinct("file_no").alias("n")).where("n > 1").count() == 0
-    ordered = rows(out.groupBy("cf", "file_no").agg(F.min("key").alias("lo"), F.max("key").alias("hi")), "cf", "file_no", "lo", "hi")
+    ordered = sorted(map(tuple, out.groupBy("cf", "file_no").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).collect()))
     assert all(a[3] < b[2] for a, b in zip(ordered, ordered[1:]) if a[0] == b[0])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvstrata.operators.changes import null_safe_join
-from kvstrata.operators.skew import spread_join
+from kvstrata.operators.skew import spread_join, thinned
 from kvstrata.sources.scratch import durable
 from kvstrata.sources.tables import file_number
 
@@ -133,7 +133,8 @@ def _resolved(refs: DataFrame, spans: DataFrame, parts: int, broadcast_spans: in
     lookup = Lookup(loads, spans, parts, broadcast_spans)
     groups = durable(lookup.groups(loads))
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = durable(spread_join(refs, groups, GROUP, "n", total, null_safe=True))
+    named = F.xxhash64(*GROUP)
+    found = durable(spread_join(durable(thinned(refs, named, groups, named, groups.count())), groups, GROUP, "n", total, null_safe=True))
     return loads, groups, found.where("state = 'all'").drop("state"), lookup.missing(found.where("state = 'some'").drop("state"))
 
 

@@ -178,7 +178,7 @@ class IncrementalTable:
         tree = durable(tree_of(durable(leaf_digests(marked, "_part", "_leaf", F.col("_hash")))))
         open_leaves, self.levels_read = changed_leaves(tree, saved)
         n = open_leaves.count()
-        now = self._placed(marked, open_leaves, n)
+        now = durable(self._placed(marked, open_leaves, n).drop("_part", "_leaf"))
         old = self._saved_records(at, saved, open_leaves, n)
         same = self.key if self.by_key else [*self.key, "_hash"]
         fresh = null_safe_join(now, old.hint("merge"), same, "left_anti")
